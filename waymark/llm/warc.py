@@ -110,10 +110,11 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b""))
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
     shared = rows.filter(F.length("payload") >= min_bytes).groupBy("sha1").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    ids = rows.select("page_id", "sha1").distinct()
-    roles = ids.join(shared, "sha1").select(F.col("page_id").alias("r_page"), F.col("sha1").alias("r_sha1"), "winner", F.lit(True).alias("shared"))
-    numbered = rows.withColumn("nth", F.row_number().over(Window.partitionBy("page_id", "sha1").orderBy("url")))
-    ruled = numbered.join(roles, numbered.page_id.eqNullSafe(roles.r_page) & (numbered.sha1 == roles.r_sha1), "left")
+    # one key without nulls for both steps, so that payloads move once
+    key = F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), "sha1").alias("key")
+    roles = rows.select(key, "sha1").distinct().join(shared, "sha1").select("key", "winner", F.lit(True).alias("shared"))
+    numbered = rows.select("*", key).withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("url")))
+    ruled = numbered.join(roles, "key", "left")
     revisit = F.col("shared").isNotNull() & ~(F.col("page_id").eqNullSafe(F.col("winner")) & (F.col("nth") == 1))
 
     def run(batches):
