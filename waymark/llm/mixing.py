@@ -58,22 +58,24 @@ def draws(quota: list[int], shard_slots: int, seed: int) -> list[list[int]]:
     return out
 
 
-def permuted(i: Column, n: Column, key: Column, rounds: int = 4) -> Column:
-    """A pseudorandom permutation of 0 to n - 1: rounds of an affine map modulo n with a multiplier prime to n, each followed by a shuffle of even and odd numbers apart."""
-    for r in range(rounds):
-        shift = F.pmod(F.xxhash64(key, F.lit(r)), n)
-        i = F.pmod(F.pmod(i + shift, n) * _prime_to(n, r), n)
-        i = F.shiftright(i, 1) + F.when(i % 2 == 0, 0).otherwise(F.shiftright(n + 1, 1))
-    return i
+#: Fixed primes over 2^20, of which a permutation takes those prime to its range.
+_PRIMES = (1048583, 1048589, 1048601, 1048609, 1048613, 1048627)
 
 
-#: Fixed primes over 2^20: at least one of three in a row is prime to any n below 2^60.
-_PRIMES = (1048583, 1048589, 1048601, 1048609, 1048613, 1048627)
+def permutation(n: int, key: int, rounds: int = 3) -> list[tuple[int, int]]:
+    """(shift, multiplier) of each round of a pseudorandom permutation of 0 to n - 1."""
+    rng = np.random.default_rng([key, n])
+    fit = [p for p in _PRIMES if n % p]
+    return [(int(rng.integers(n)), int(rng.choice(fit))) for _ in range(rounds)]
 
 
-def _prime_to(n: Column, r: int) -> Column:
-    a, b, c = (F.lit(_PRIMES[(r + j) % len(_PRIMES)]).cast("long") for j in range(3))
-    return F.when(n % a != 0, a).when(n % b != 0, b).otherwise(c)
+def permuted(i: Column, n: Column, rounds: list[tuple[Column, Column]]) -> Column:
+    """i, below n, under a permutation: each round is an affine map modulo n, and between two rounds even and odd numbers are set apart."""
+    for r, (shift, times) in enumerate(rounds):
+        i = (i + shift) * times % n
+        if r + 1 < len(rounds):
+            i = F.shiftright(i, 1) + i.bitwiseAND(1) * F.shiftright(n + 1, 1)
+    return i
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -98,14 +100,16 @@ def slots(spark, sources: list[dict], seed: int = 17, shard_slots: int = SHARD_S
     """shard, sid, slot (the source's own number) and block of every slot of the mix."""
     live = [s for s in sources if s["quota"]]
     runs, seen = [], [0] * len(live)
+    perms = [[x for pair in permutation(s["blocks"], seed * 1_000_003 + s["sid"], 2) for x in pair] for s in live]
     for k, got in enumerate(draws([s["quota"] for s in live], shard_slots, seed)):
         for j, n in enumerate(got):
             if n:
-                runs.append((k, live[j]["sid"], live[j]["blocks"], seen[j], n))
+                runs.append((k, live[j]["sid"], live[j]["blocks"], seen[j], n, *perms[j]))
                 seen[j] += n
-    rows = spark.createDataFrame(runs, "shard long, sid int, blocks long, first long, n long").repartition(max(8, spark.sparkContext.defaultParallelism), "shard", "sid")
-    slot = rows.select("shard", "sid", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
-    block = permuted(F.pmod(F.col("slot"), F.col("blocks")), F.col("blocks"), F.hash(F.col("sid"), F.lit(seed)))
+    rows = spark.createDataFrame(runs, "shard long, sid int, blocks long, first long, n long, s0 long, m0 long, s1 long, m1 long")
+    rows = rows.repartition(max(8, spark.sparkContext.defaultParallelism), "shard", "sid")
+    slot = rows.withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
+    block = permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), [(F.col("s0"), F.col("m0")), (F.col("s1"), F.col("m1"))])
     return slot.select("shard", "sid", "slot", block.alias("block"))
 
 
