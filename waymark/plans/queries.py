@@ -1,9 +1,116 @@
-"""The driver's queries of the search engine."""
+"""The driver's queries of the search engine over a gazetteer made of the part table, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import geo, text
+from ..operators import index, reverse, search
+from ..sources import gazetteer
+
+
+def _read(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark, sf_dir: str) -> DataFrame:
+    return gazetteer.of_parts(_read(spark, sf_dir, "part"))
+
+
+def _asked(spark, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "part").filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("qid"), F.concat_ws(" ", "p_name", "p_brand").alias("query"))
+
+
+def _positions(spark, sf_dir: str) -> DataFrame:
+    key = F.col("event_id")
+    return _read(spark, sf_dir, "events").select(key.alias("qid"), (42.0 + key * 37 % 900 / 100).alias("lat"), (-1.0 + key * 53 % 700 / 100 + 0.001).alias("lon"))
+
+
+def _search(spark, sf_dir: str, wanted: dict | None = None) -> DataFrame:
+    docs, asked = _docs(spark, sf_dir), _asked(spark, sf_dir)
+    posted = index.postings(docs)
+    ok = search.allowed(index.filters(docs), wanted) if wanted else None
+    found = search.intersect(search.keys(asked), posted, index.token_stats(posted), allowed=ok)
+    return search.scored(asked, found, docs).select("qid", "rank", "doc", "label", F.round("score", 9).alias("score"))
+
+
+def _topk(spark, sf_dir: str) -> DataFrame:
+    posted = index.postings(_docs(spark, sf_dir))
+    return search.intersect(search.keys(_asked(spark, sf_dir)), posted, index.token_stats(posted), 10).select("qid", "doc", "rank", F.round("sum", 9).alias("sum"))
+
+
+POSTCODES = ("01000", "05000", "11000", "15000", "21000", "25000", "31000", "35000", "41000", "45000")
 
 
 def queries() -> dict:
-    return {}
+    return {
+        "text_fold": lambda s, d: _read(s, d, "documents").select("doc_id", text.fold(F.col("text")).alias("folded")),
+        "text_tokens": lambda s, d: _read(s, d, "documents").select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("n_tokens")),
+        "text_leading_zeros": lambda s, d: _read(s, d, "part").select("p_partkey", text.without_leading_zeros(F.concat_ws(" ", F.lpad(F.col("p_size").cast("string"), 4, "0"), "p_name")).alias("cleaned")),
+        "index_numbering": lambda s, d: _docs(s, d).select("id", F.col("doc").cast("long").alias("doc")),
+        "index_postings": lambda s, d: index.postings(_docs(s, d)).select("token", F.col("doc").cast("long").alias("doc"), F.round("score", 9).alias("score")),
+        "index_token_stats": lambda s, d: index.token_stats(index.postings(_docs(s, d))).select("token", "df", F.round("max_score", 9).alias("max_score")),
+        "index_pairs": lambda s, d: index.pairs(index.postings(_docs(s, d))),
+        "index_edge_ngrams": lambda s, d: index.edge_ngrams(index.postings(_docs(s, d))),
+        "index_filters": lambda s, d: index.filters(_docs(s, d)).select("name", "value", F.col("doc").cast("long").alias("doc")),
+        "index_geocells": lambda s, d: index.cells(_docs(s, d)).select("cell", F.col("doc").cast("long").alias("doc")),
+        "postings_intersect_topk": _topk,
+        "bigram_similarity": lambda s, d: _read(s, d, "part").select("p_partkey", F.round(text.similarity(text.fold(F.col("p_name")), text.fold(F.concat_ws(" ", "p_name", "p_brand"))), 9).alias("similarity")),
+        "search_exact": _search,
+        "search_filtered": lambda s, d: _search(s, d, {"type": ["street"], "postcode": list(POSTCODES)}),
+        "reverse_nearest": lambda s, d: reverse.nearest(_positions(s, d), _docs(s, d)).select("qid", "doc", "distance_m"),
+        "reverse": lambda s, d: reverse.reverse(_positions(s, d), _docs(s, d), index.cells(_docs(s, d))),
+        "housenumber_split": lambda s, d: _read(s, d, "part").select("p_partkey", text.split_housenumber(F.concat(F.col("p_size").cast("string"), F.when(F.col("p_size") % 3 == 0, " bis").when(F.col("p_size") % 3 == 1, "B").otherwise(""))).alias("n")).select("p_partkey", "n.num", "n.complement", "n.short"),
+    }
+
+
+_FOLD = "trim(regexp_replace(replace(strip_accents(lower({0})), 'ß', 'ss'), '[^a-z0-9_]+', ' ', 'g'))"
+_GAZ = """gaz AS (SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_size % 10 = 0 THEN 'municipality' ELSE 'street' END AS kind, p_name AS name, p_brand AS city, p_type AS context,
+ lpad(CAST(p_size * 1000 AS VARCHAR), 5, '0') AS postcode, p_retailprice / 1000 AS importance, 42.0::DOUBLE + (p_partkey * 37 % 900)::DOUBLE / 100 AS lat, -1.0::DOUBLE + (p_partkey * 53 % 700)::DOUBLE / 100 AS lon,
+ row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS doc FROM part)"""
+_POSTINGS = f"""{_GAZ}, f AS (SELECT doc, importance, name AS t, 4.0::DOUBLE AS boost FROM gaz UNION ALL SELECT doc, importance, postcode, CASE WHEN kind = 'municipality' THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END FROM gaz
+ UNION ALL SELECT doc, importance, city, 1.0::DOUBLE FROM gaz UNION ALL SELECT doc, importance, context, 1.0::DOUBLE FROM gaz),
+ w AS (SELECT doc, importance, boost, string_split({_FOLD.format("t")}, ' ') AS words FROM f),
+ p AS (SELECT token, doc, max(score) AS score FROM (SELECT doc, unnest(words) AS token, (1.0::DOUBLE / len(words)) * (boost + 0.1::DOUBLE * importance) AS score FROM w) WHERE token <> '' GROUP BY ALL),
+ s AS (SELECT token, count(*) AS df, max(score) AS max_score FROM p GROUP BY token)"""
+_TOPK = f"""{_POSTINGS}, q AS (SELECT p_partkey AS qid, {_FOLD.format("p_name || ' ' || p_brand")} AS q FROM part WHERE p_partkey % 50 = 0),
+ k AS (SELECT DISTINCT qid, unnest(string_split(q, ' ')) AS token FROM q), n AS (SELECT qid, count(*) AS n FROM k GROUP BY qid),
+ m AS (SELECT k.qid, p.doc, count(*) AS c, list_sum(list(p.score ORDER BY s.df, p.token)) AS total FROM k JOIN p USING (token) JOIN s USING (token) GROUP BY ALL),
+ b AS (SELECT m.qid, m.doc, total, row_number() OVER (PARTITION BY m.qid ORDER BY round(total, 9) DESC, m.doc) AS rank FROM m JOIN n ON m.qid = n.qid AND m.c = n.n)"""
+_GRAMS = "list_transform(range(1, length({0})), lambda i: substr({0}, i, 2))"
+
+
+def _bigram(a: str, b: str) -> str:
+    x, y = _GRAMS.format(a), _GRAMS.format(b)
+    shared = f"list_sum(list_transform(list_distinct({x}), lambda g: least(len(list_filter({x}, lambda h: h = g)), len(list_filter({y}, lambda h: h = g)))))"
+    return f"coalesce({shared}, 0)::DOUBLE / (len({x}) + len({y}) - coalesce({shared}, 0))"
+
+
+def _search_sql(condition: str) -> str:
+    return f"""WITH {_TOPK}, h AS (SELECT b.qid, b.doc, q.q AS y, g.importance, g.name || ' ' || g.postcode || ' ' || g.city AS label, unnest([g.name || ' ' || g.postcode || ' ' || g.city, g.name || ' ' || g.postcode, g.name || ' ' || g.city, g.name]) AS l
+ FROM b JOIN q USING (qid) JOIN gaz g USING (doc) WHERE {condition}), i AS (SELECT *, {_FOLD.format("l")} AS x FROM h),
+ c AS (SELECT qid, doc, any_value(label) AS label, (any_value(importance) * 0.1::DOUBLE + max({_bigram("x", "y")})) / 1.1::DOUBLE AS score FROM i GROUP BY qid, doc),
+ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, doc) AS rank FROM c) SELECT qid, rank, doc, label, round(score, 9) AS score FROM r WHERE rank <= 5 AND score >= 0.1"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    near = "2 * 6367.0 * asin(sqrt(pow(sin((radians(g.lat) - radians(e.lat)) / 2), 2) + cos(radians(e.lat)) * cos(radians(g.lat)) * pow(sin((radians(g.lon) - radians(e.lon)) / 2), 2)))"
+    return {
+        "text_fold": f"SELECT doc_id, {_FOLD.format('text')} AS folded FROM documents",
+        "text_tokens": f"SELECT doc_id, CASE WHEN coalesce({_FOLD.format('text')}, '') = '' THEN 0 ELSE len(string_split({_FOLD.format('text')}, ' ')) END AS n_tokens FROM documents",
+        "text_leading_zeros": r"SELECT p_partkey, regexp_replace(lpad(CAST(p_size AS VARCHAR), 4, '0') || ' ' || p_name, '\b0+(\d{1,3})\b', '\1', 'g') AS cleaned FROM part",
+        "index_numbering": f"WITH {_GAZ} SELECT id, doc FROM gaz",
+        "index_postings": f"WITH {_POSTINGS} SELECT token, doc, round(score, 9) AS score FROM p",
+        "index_token_stats": f"WITH {_POSTINGS} SELECT token, df, round(max_score, 9) AS max_score FROM s",
+        "index_pairs": f"WITH {_POSTINGS} SELECT DISTINCT a.token, b.token AS other FROM p a JOIN p b ON a.doc = b.doc AND a.token <> b.token",
+        "index_edge_ngrams": f"WITH {_POSTINGS} SELECT left(token, i) AS ngram, token FROM (SELECT token, unnest(range(3, least(length(token) - 1, 20) + 1)) AS i FROM s)",
+        "index_filters": f"WITH {_GAZ} SELECT 'type' AS name, kind AS value, doc FROM gaz UNION SELECT 'postcode', postcode, doc FROM gaz",
+        "index_geocells": f"WITH {_GAZ}, i AS (SELECT doc, floor((lat + 90) / 180 * 131072)::BIGINT AS a, floor((lon + 180) / 360 * 262144)::BIGINT AS o FROM gaz) SELECT (SELECT sum(((o >> b) & 1) << (2 * b))::BIGINT FROM range(18) t(b)) + (SELECT sum(((a >> b) & 1) << (2 * b + 1))::BIGINT FROM range(17) t(b)) AS cell, doc FROM i",
+        "postings_intersect_topk": f"WITH {_TOPK} SELECT qid, doc, rank, round(total, 9) AS sum FROM b WHERE rank <= 10",
+        "search_exact": _search_sql("rank <= 100"),
+        "search_filtered": _search_sql(f"g.kind = 'street' AND g.postcode IN {POSTCODES}"),
+        "bigram_similarity": f"WITH x AS (SELECT p_partkey, {_FOLD.format('p_name')} AS a, {_FOLD.format(chr(112) + '_name || chr(32) || p_brand')} AS b FROM part) SELECT p_partkey, round({_bigram('a', 'b')}, 9) AS similarity FROM x",
+        "reverse_nearest": f"WITH {_GAZ}, e AS (SELECT event_id AS qid, 42.0::DOUBLE + (event_id * 37 % 900)::DOUBLE / 100 AS lat, -1.0::DOUBLE + (event_id * 53 % 700)::DOUBLE / 100 + 0.001::DOUBLE AS lon FROM events), d AS (SELECT e.qid, g.doc, {near} AS km FROM e JOIN gaz g ON abs(g.lat - e.lat) < 0.05 AND abs(g.lon - e.lon) < 0.1), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY km, doc) AS n FROM d WHERE km <= 5) SELECT qid, doc, round(km * 1000, 3) AS distance_m FROM r WHERE n = 1",
+        "housenumber_split": "SELECT p_partkey, CAST(p_size AS VARCHAR) AS num, CASE p_size % 3 WHEN 0 THEN 'bis' WHEN 1 THEN 'B' END AS complement, CASE WHEN p_size % 3 < 2 THEN 'b' END AS short FROM part",
+    }
