@@ -134,7 +134,8 @@ def mix(rows: DataFrame, sources: list[dict], seed: int = 17) -> DataFrame:
     rows: sized(), as a written table. Texts without words take no part; repeated rows are rows of their own; an empty
     table gives an empty mix. No block is taken more often than `most` times, so no document either.
     """
-    return blocks(rows, sources).join(slots(rows.sparkSession, sources, seed), ["sid", "block"])
+    # both sides grow with the input: never broadcast, though the planner takes the slots, made of short runs, for few
+    return blocks(rows, sources).join(slots(rows.sparkSession, sources, seed).hint("merge"), ["sid", "block"])
 
 
 def taken(rows: DataFrame, sources: list[dict], seed: int = 17) -> DataFrame:

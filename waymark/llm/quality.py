@@ -76,7 +76,10 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 8, rate: float =
     vectors = rng.uniform(-1 / dim, 1 / dim, (1 << bits, dim)).astype(np.float32)
     output, bias = np.zeros((dim, 2), dtype=np.float32), np.log(np.bincount(labels, minlength=2)[:2] + 1.0)
     bias = (bias - bias.mean()).astype(np.float32)
-    bags = [np.unique(features(t, bits)[1], return_counts=True) for t in texts]
+    bags = []
+    for t in texts:
+        ids, counts = np.unique(features(t, bits)[1].astype(np.int32), return_counts=True)
+        bags.append((ids, counts.astype(np.float32)))
     step, steps = 0, max(1, epochs * len(bags))
     for _ in range(epochs):
         for i in rng.permutation(len(bags)):
