@@ -25,7 +25,7 @@ DIM = 16
 GRAMS = (3, 4, 5)
 NEUTRAL = 16
 #: Texts are read in spans of this many bytes, cut between words.
-SPAN = 1 << 20
+SPAN = 1 << 18
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
