@@ -24,10 +24,10 @@ from .store import written
 
 WINDOW = 35
 ANCHOR = 8
-#: Distinct texts above which an anchor's stretches are dealt out window by window.
-COMMON = 256
-#: Symbols that one index is meant to hold, and that one is built over at most when a shard is larger.
+#: Symbols that one index is meant to hold.
 SHARD = 400_000
+#: Distinct texts above which an anchor's stretches are dealt out window by window: those of fewer fit one index.
+COMMON = SHARD // (2 * WINDOW + ANCHOR)
 _TEXT_KEY = ("h1", "h2")
 
 
