@@ -54,3 +54,13 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 
 def km_to_score(km: Column) -> Column:
     return F.when(km > 100, 0.0).otherwise(F.exp(-F.pow(km / 50, 2)))
+
+
+def compensated_sum(*terms: Column) -> Column:
+    """The terms' sum with what each addition loses carried along, as Python's sum does."""
+    total, lost = F.lit(0.0), F.lit(0.0)
+    for x in terms:
+        new = total + x
+        lost = lost + F.when(F.abs(total) >= F.abs(x), (total - new) + x).otherwise((x - new) + total)
+        total = new
+    return total + lost

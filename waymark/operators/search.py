@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import geo, text
+from ..functions import french, geo, text
 
 BUCKET_MAX, MIN_SCORE, IMPORTANCE_WEIGHT, MAX_FILTER_VALUES = 100, 0.1, 0.1, 10
 
@@ -35,7 +35,7 @@ def intersect(keyed: DataFrame, posted: DataFrame, stats: DataFrame, limit: int
     return summed.withColumn("rank", rank).filter(F.col("rank") <= limit)
 
 
-def labels() -> F.Column:
+def labels() -> Column:
     """The texts that a document may be called by: its name, with its city, its postcode, or both."""
     name, city, postcode = F.col("name"), F.col("city"), F.col("postcode")
     return F.array(F.concat_ws(" ", name, postcode, city), F.concat_ws(" ", name, postcode), F.concat_ws(" ", name, city), name)
@@ -44,18 +44,18 @@ def labels() -> F.Column:
 def scored(queries: DataFrame, found: DataFrame, documents: DataFrame, limit: int = 5) -> DataFrame:
     """qid, rank, doc, label, str_distance, score (and distance_km where queries have lat and lon).
 
-    The score weighs the best similarity of a label with the query, the importance, and the nearness if a center is given.
+    The score weighs the similarity of the first good label (or the best one) with the query, the importance, and the nearness if a center is given.
     """
     center = {"lat", "lon"} <= set(queries.columns)
     asked = queries.select("qid", text.fold(F.col("query")).alias("q"), *([F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon")] if center else []))
     rows = found.select("qid", "doc").join(asked, "qid").join(documents, "doc").withColumn("labels", labels())
-    near = F.array_max(F.transform("labels", lambda x: text.similarity(text.fold(x), F.col("q"))))
+    near = french.best_similarity(F.transform("labels", lambda x: text.similarity(text.fold(x), F.col("q"))))
     rows = rows.withColumn("str_distance", near)
     total, weight = F.col("importance") * IMPORTANCE_WEIGHT + F.col("str_distance"), F.lit(1.0 + IMPORTANCE_WEIGHT)
     if center:
         rows = rows.withColumn("distance_km", geo.haversine_km(F.col("c_lat"), F.col("c_lon"), F.col("lat"), F.col("lon")))
         has = F.col("c_lat").isNotNull() & F.col("c_lon").isNotNull()
-        total = total + F.when(has, geo.km_to_score(F.col("distance_km")) * 0.1).otherwise(0.0)
+        total = geo.compensated_sum(F.col("importance") * IMPORTANCE_WEIGHT, F.col("str_distance"), F.when(has, geo.km_to_score(F.col("distance_km")) * 0.1).otherwise(0.0))
         weight = weight + F.when(has, 0.1).otherwise(0.0)
     rows = rows.withColumn("score", total / weight).withColumn("label", F.element_at("labels", 1))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc"))
@@ -71,3 +71,30 @@ def allowed(filters: DataFrame, wanted: dict[str, list[str]]) -> DataFrame | Non
             docs = filters.filter((F.col("name") == name) & F.col("value").isin(kept)).select("doc").distinct()
             out = docs if out is None else out.join(docs, "doc", "left_semi")
     return out
+
+
+def intersect_sets(a: Column, b: Column) -> Column:
+    return F.array_sort(F.array_intersect(a, b))
+
+
+def union_sets(a: Column, b: Column) -> Column:
+    return F.array_sort(F.array_union(a, b))
+
+
+def known_misspellings(words: DataFrame, stats: DataFrame) -> DataFrame:
+    """token, nth, other: what words (token) may be misspelt for, in the order of the slips; numbers have none."""
+    slips = words.select("token").distinct().filter(~F.col("token").rlike("^[0-9]+$")).select("token", F.posexplode(french.misspellings(F.col("token"))).alias("nth", "other"))
+    return slips.join(stats.select(F.col("token").alias("other")), "other").select("token", "nth", "other")
+
+
+def completions(ends: DataFrame, ngrams: DataFrame, stats: DataFrame, paired: DataFrame, limit: int = BUCKET_MAX) -> DataFrame:
+    """qid, rank, token: words that begin with a query's last word and stand with each of its others in some document.
+
+    ends: qid, last, others (array). A lone word's completions come by falling score, others by falling frequency; ties by word.
+    """
+    found = ends.join(ngrams.select(F.col("ngram").alias("last"), "token"), "last")
+    needed = found.select("qid", "token", F.size("others").alias("n"), F.explode_outer("others").alias("other"))
+    met = needed.join(paired, ["token", "other"], "left_semi").groupBy("qid", "token", "n").agg(F.count("*").alias("c")).filter("c = n")
+    fit = met.select("qid", "token", "n").unionByName(needed.filter("n = 0").select("qid", "token", "n")).join(stats, "token")
+    order = Window.partitionBy("qid").orderBy(F.when(F.col("n") == 0, F.col("max_score")).otherwise(F.col("df")).desc(), "token")
+    return fit.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("qid", "rank", "token")

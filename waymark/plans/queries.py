@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geo, text
+from ..functions import french, geo, text
 from ..operators import index, reverse, search
 from ..sources import gazetteer
 
@@ -40,6 +40,35 @@ def _topk(spark, sf_dir: str) -> DataFrame:
     return search.intersect(search.keys(_asked(spark, sf_dir)), posted, index.token_stats(posted), 10).select("qid", "doc", "rank", F.round("sum", 9).alias("sum"))
 
 
+def _clean(spark, sf_dir: str) -> DataFrame:
+    """Texts as queries, with post boxes and floors put before some of them."""
+    box = F.when(F.col("p_partkey") % 3 == 0, "BP 123 ").when(F.col("p_partkey") % 3 == 1, "3ème étage ").otherwise("lieu dit ")
+    return _read(spark, sf_dir, "part").select("p_partkey", french.clean_query(F.concat(box, F.col("p_name"), F.lit(" 75001 "), F.col("p_brand"), F.lit(" cedex 01"))).alias("cleaned"))
+
+
+def _phonemes(spark, sf_dir: str) -> DataFrame:
+    """The vocabulary of all texts, each word once, as it sounds."""
+    words = _read(spark, sf_dir, "documents").select(F.explode(text.tokens(F.col("text"))).alias("word")).distinct()
+    return words.select("word", french.phonemes(F.col("word")).alias("phonemes"))
+
+
+def _labels(spark, sf_dir: str) -> DataFrame:
+    named = french.labels(F.array("name"), F.col("postcode"), F.array("city"), F.lit(None).cast("string"), F.col("kind"))
+    return _docs(spark, sf_dir).select("id", F.posexplode(named).alias("nth", "label"))
+
+
+def _misspelt(spark, sf_dir: str) -> DataFrame:
+    stats = index.token_stats(index.postings(_docs(spark, sf_dir)))
+    return search.known_misspellings(stats.select(F.col("token")).unionByName(stats.select(F.concat("token", F.lit("e")).alias("token"))), stats).select("token", "other")
+
+
+def _completions(spark, sf_dir: str) -> DataFrame:
+    posted = index.postings(_docs(spark, sf_dir))
+    asked = _read(spark, sf_dir, "part").filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("qid"), text.tokens(F.col("p_name")).alias("w"))
+    ends = asked.select("qid", F.left(F.element_at("w", -1), F.lit(3)).alias("last"), F.array_distinct(F.slice("w", 1, F.size("w") - 1)).alias("others"))
+    return search.completions(ends, index.edge_ngrams(posted), index.token_stats(posted), index.pairs(posted), 10)
+
+
 POSTCODES = ("01000", "05000", "11000", "15000", "21000", "25000", "31000", "35000", "41000", "45000")
 
 
@@ -57,6 +86,11 @@ def queries() -> dict:
         "index_geocells": lambda s, d: index.cells(_docs(s, d)).select("cell", F.col("doc").cast("long").alias("doc")),
         "postings_intersect_topk": _topk,
         "bigram_similarity": lambda s, d: _read(s, d, "part").select("p_partkey", F.round(text.similarity(text.fold(F.col("p_name")), text.fold(F.concat_ws(" ", "p_name", "p_brand"))), 9).alias("similarity")),
+        "text_clean": _clean,
+        "text_phonemes": _phonemes,
+        "labels": _labels,
+        "fuzzy_known": _misspelt,
+        "autocomplete_words": _completions,
         "search_exact": _search,
         "search_filtered": lambda s, d: _search(s, d, {"type": ["street"], "postcode": list(POSTCODES)}),
         "reverse_nearest": lambda s, d: reverse.nearest(_positions(s, d), _docs(s, d)).select("qid", "doc", "distance_m"),
@@ -78,6 +112,12 @@ _TOPK = f"""{_POSTINGS}, q AS (SELECT p_partkey AS qid, {_FOLD.format("p_name ||
  k AS (SELECT DISTINCT qid, unnest(string_split(q, ' ')) AS token FROM q), n AS (SELECT qid, count(*) AS n FROM k GROUP BY qid),
  m AS (SELECT k.qid, p.doc, count(*) AS c, list_sum(list(p.score ORDER BY s.df, p.token)) AS total FROM k JOIN p USING (token) JOIN s USING (token) GROUP BY ALL),
  b AS (SELECT m.qid, m.doc, total, row_number() OVER (PARTITION BY m.qid ORDER BY round(total, 9) DESC, m.doc) AS rank FROM m JOIN n ON m.qid = n.qid AND m.c = n.n)"""
+_CLEAN_SQL = "p_name || ' 75001 ' || p_brand || ' cedex 01'"
+_CLEAN_SQL = f"CASE p_partkey % 3 WHEN 0 THEN 'BP 123 ' WHEN 1 THEN '3ème étage ' ELSE 'lieu dit ' END || {_CLEAN_SQL}"
+for _pattern, _new in french.CLEAN:
+    _old = _pattern.replace("(?=.)", "(.)")
+    _CLEAN_SQL = f"regexp_replace({_CLEAN_SQL}, '(?i){_old}', '{_new.replace('$', chr(92)) if _old == _pattern else chr(92) + '1'}', 'g')"
+_CLEAN_SQL = f"SELECT p_partkey, trim({_CLEAN_SQL}) AS cleaned FROM part"
 _GRAMS = "list_transform(range(1, length({0})), lambda i: substr({0}, i, 2))"
 
 
@@ -88,9 +128,10 @@ def _bigram(a: str, b: str) -> str:
 
 
 def _search_sql(condition: str) -> str:
-    return f"""WITH {_TOPK}, h AS (SELECT b.qid, b.doc, q.q AS y, g.importance, g.name || ' ' || g.postcode || ' ' || g.city AS label, unnest([g.name || ' ' || g.postcode || ' ' || g.city, g.name || ' ' || g.postcode, g.name || ' ' || g.city, g.name]) AS l
+    return f"""WITH {_TOPK}, h AS (SELECT b.qid, b.doc, q.q AS y, g.importance, g.name || ' ' || g.postcode || ' ' || g.city AS label, unnest([g.name || ' ' || g.postcode || ' ' || g.city, g.name || ' ' || g.postcode, g.name || ' ' || g.city, g.name]) AS l, unnest([1, 2, 3, 4]) AS nth
  FROM b JOIN q USING (qid) JOIN gaz g USING (doc) WHERE {condition}), i AS (SELECT *, {_FOLD.format("l")} AS x FROM h),
- c AS (SELECT qid, doc, any_value(label) AS label, (any_value(importance) * 0.1::DOUBLE + max({_bigram("x", "y")})) / 1.1::DOUBLE AS score FROM i GROUP BY qid, doc),
+ j AS (SELECT *, {_bigram("x", "y")} AS near FROM i),
+ c AS (SELECT qid, doc, any_value(label) AS label, (any_value(importance) * 0.1::DOUBLE + coalesce(arg_min(near, nth) FILTER (WHERE near >= 0.9), max(near))) / 1.1::DOUBLE AS score FROM j GROUP BY qid, doc),
  r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, doc) AS rank FROM c) SELECT qid, rank, doc, label, round(score, 9) AS score FROM r WHERE rank <= 5 AND score >= 0.1"""
 
 
@@ -108,6 +149,14 @@ def oracle_sql() -> dict[str, str]:
         "index_filters": f"WITH {_GAZ} SELECT 'type' AS name, kind AS value, doc FROM gaz UNION SELECT 'postcode', postcode, doc FROM gaz",
         "index_geocells": f"WITH {_GAZ}, i AS (SELECT doc, floor((lat + 90) / 180 * 131072)::BIGINT AS a, floor((lon + 180) / 360 * 262144)::BIGINT AS o FROM gaz) SELECT (SELECT sum(((o >> b) & 1) << (2 * b))::BIGINT FROM range(18) t(b)) + (SELECT sum(((a >> b) & 1) << (2 * b + 1))::BIGINT FROM range(17) t(b)) AS cell, doc FROM i",
         "postings_intersect_topk": f"WITH {_TOPK} SELECT qid, doc, rank, round(total, 9) AS sum FROM b WHERE rank <= 10",
+        "text_clean": _CLEAN_SQL,
+        "labels": f"""WITH {_GAZ}, l AS (SELECT id, list_filter([name || ' ' || postcode || ' ' || city, name || ' ' || postcode, name || ' ' || city, name, CASE WHEN kind = 'municipality' THEN postcode || ' ' || name END, CASE WHEN kind = 'municipality' THEN name || ' ' || postcode END], lambda x: x IS NOT NULL) AS l FROM gaz)
+ SELECT id, (unnest(range(len(l))))::INTEGER AS nth, unnest(l) AS label FROM l""",
+        "autocomplete_words": f"""WITH {_POSTINGS}, q AS (SELECT p_partkey AS qid, string_split({_FOLD.format("p_name")}, ' ') AS w FROM part WHERE p_partkey % 50 = 0),
+ ends AS (SELECT qid, left(w[-1], 3) AS last, list_distinct(w[:-2]) AS others FROM q), fit AS (SELECT e.qid, s.token, s.df, s.max_score, e.others FROM ends e JOIN s ON length(s.token) > 3 AND starts_with(s.token, e.last)),
+ met AS (SELECT DISTINCT a.token AS other, b.token FROM p a JOIN p b ON a.doc = b.doc AND a.token <> b.token),
+ known AS (SELECT fit.* FROM fit WHERE len(others) = (SELECT count(*) FROM met WHERE met.token = fit.token AND list_contains(fit.others, met.other))),
+ r AS (SELECT qid, token, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN len(others) = 0 THEN max_score ELSE df END DESC, token) AS rank FROM known) SELECT qid, rank, token FROM r WHERE rank <= 10""",
         "search_exact": _search_sql("rank <= 100"),
         "search_filtered": _search_sql(f"g.kind = 'street' AND g.postcode IN {POSTCODES}"),
         "bigram_similarity": f"WITH x AS (SELECT p_partkey, {_FOLD.format('p_name')} AS a, {_FOLD.format(chr(112) + '_name || chr(32) || p_brand')} AS b FROM part) SELECT p_partkey, round({_bigram('a', 'b')}, 9) AS similarity FROM x",
