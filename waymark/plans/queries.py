@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import french, geo, text
-from ..operators import index, reverse, search
-from ..sources import gazetteer
+from ..operators import batch, index, reverse, search
+from ..sources import gazetteer, geojson
 
 
 def _read(spark, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,23 @@ def _search(spark, sf_dir: str, wanted: dict | None = None) -> DataFrame:
     return search.scored(asked, found, docs).select("qid", "rank", "doc", "label", F.round("score", 9).alias("score"))
 
 
+def _geocoded(spark, sf_dir: str) -> DataFrame:
+    """Every part as a row of a table whose columns p_name and p_brand are the query."""
+    table = _read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    return batch.geocode_table(table, _docs(spark, sf_dir), ["p_name", "p_brand"], min_score=0.3).select("p_partkey", "result_id", "result_label", "result_score", "result_score_next", "result_type", "result_postcode")
+
+
+def _reversed(spark, sf_dir: str) -> DataFrame:
+    spots = _positions(spark, sf_dir).select("qid", F.col("lat").cast("string").alias("lat"), "lon")
+    return batch.reverse_table(spots, _docs(spark, sf_dir)).select("qid", "result_id", "result_label", "result_distance")
+
+
+def _features(spark, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    made = geojson.features(_search(spark, sf_dir), docs).select("qid", "rank", "feature.*")
+    return made.select("qid", "rank", "type", F.col("geometry.type").alias("geometry"), F.round(F.element_at("geometry.coordinates", 1), 9).alias("lon"), F.round(F.element_at("geometry.coordinates", 2), 9).alias("lat"), "properties.id", "properties.label")
+
+
 def _topk(spark, sf_dir: str) -> DataFrame:
     posted = index.postings(_docs(spark, sf_dir))
     return search.intersect(search.keys(_asked(spark, sf_dir)), posted, index.token_stats(posted), 10).select("qid", "doc", "rank", F.round("sum", 9).alias("sum"))
@@ -93,6 +110,9 @@ def queries() -> dict:
         "autocomplete_words": _completions,
         "search_exact": _search,
         "search_filtered": lambda s, d: _search(s, d, {"type": ["street"], "postcode": list(POSTCODES)}),
+        "geocode_batch": _geocoded,
+        "reverse_batch": _reversed,
+        "geojson_features": _features,
         "reverse_nearest": lambda s, d: reverse.nearest(_positions(s, d), _docs(s, d)).select("qid", "doc", "distance_m"),
         "reverse": lambda s, d: reverse.reverse(_positions(s, d), _docs(s, d), index.cells(_docs(s, d))),
         "housenumber_split": lambda s, d: _read(s, d, "part").select("p_partkey", text.split_housenumber(F.concat(F.col("p_size").cast("string"), F.when(F.col("p_size") % 3 == 0, " bis").when(F.col("p_size") % 3 == 1, "B").otherwise(""))).alias("n")).select("p_partkey", "n.num", "n.complement", "n.short"),
@@ -135,6 +155,15 @@ def _search_sql(condition: str) -> str:
  r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, doc) AS rank FROM c) SELECT qid, rank, doc, label, round(score, 9) AS score FROM r WHERE rank <= 5 AND score >= 0.1"""
 
 
+#: The whole table's queries, each distinct one searched once: the best document and the second's score, in two decimals.
+_BATCH = (
+    _search_sql("rank <= 100")
+    .replace(_TOPK, _TOPK.replace("p_partkey AS qid,", "DISTINCT p_name || ' ' || p_brand AS qid,").replace(" WHERE p_partkey % 50 = 0", ""))
+    .replace("SELECT qid, rank, doc, label, round(score, 9) AS score FROM r WHERE rank <= 5 AND score >= 0.1", ", a AS (SELECT qid, doc, label, printf('%.2f', score)::DOUBLE AS s, printf('%.2f', coalesce(lead(score) OVER (PARTITION BY qid ORDER BY rank), 0))::DOUBLE AS n, rank FROM r WHERE rank <= 3 AND score >= 0.1)")
+    + " SELECT p_partkey, g.id AS result_id, a.label AS result_label, a.s AS result_score, a.n AS result_score_next, g.kind AS result_type, g.postcode AS result_postcode FROM part LEFT JOIN a ON a.qid = p_name || ' ' || p_brand AND a.rank = 1 AND a.s > 0.3 LEFT JOIN gaz g ON g.doc = a.doc"
+)
+
+
 def oracle_sql() -> dict[str, str]:
     near = "2 * 6367.0 * asin(sqrt(pow(sin((radians(g.lat) - radians(e.lat)) / 2), 2) + cos(radians(e.lat)) * cos(radians(g.lat)) * pow(sin((radians(g.lon) - radians(e.lon)) / 2), 2)))"
     return {
@@ -150,6 +179,8 @@ def oracle_sql() -> dict[str, str]:
         "index_geocells": f"WITH {_GAZ}, i AS (SELECT doc, floor((lat + 90) / 180 * 131072)::BIGINT AS a, floor((lon + 180) / 360 * 262144)::BIGINT AS o FROM gaz) SELECT (SELECT sum(((o >> b) & 1) << (2 * b))::BIGINT FROM range(18) t(b)) + (SELECT sum(((a >> b) & 1) << (2 * b + 1))::BIGINT FROM range(17) t(b)) AS cell, doc FROM i",
         "postings_intersect_topk": f"WITH {_TOPK} SELECT qid, doc, rank, round(total, 9) AS sum FROM b WHERE rank <= 10",
         "text_clean": _CLEAN_SQL,
+        "geocode_batch": _BATCH,
+        "geojson_features": f"SELECT qid, rank, 'Feature' AS type, 'Point' AS geometry, round(-1.0::DOUBLE + (p_partkey * 53 % 700)::DOUBLE / 100, 9) AS lon, round(42.0::DOUBLE + (p_partkey * 37 % 900)::DOUBLE / 100, 9) AS lat, CAST(p_partkey AS VARCHAR) AS id, label FROM ({_search_sql('rank <= 100')}) s JOIN (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS doc FROM part) USING (doc)",
         "labels": f"""WITH {_GAZ}, l AS (SELECT id, list_filter([name || ' ' || postcode || ' ' || city, name || ' ' || postcode, name || ' ' || city, name, CASE WHEN kind = 'municipality' THEN postcode || ' ' || name END, CASE WHEN kind = 'municipality' THEN name || ' ' || postcode END], lambda x: x IS NOT NULL) AS l FROM gaz)
  SELECT id, (unnest(range(len(l))))::INTEGER AS nth, unnest(l) AS label FROM l""",
         "autocomplete_words": f"""WITH {_POSTINGS}, q AS (SELECT p_partkey AS qid, string_split({_FOLD.format("p_name")}, ' ') AS w FROM part WHERE p_partkey % 50 = 0),
