@@ -29,7 +29,7 @@ def test_split_housenumber(spark, written, want):
     assert tuple(one(spark, text.split_housenumber(F.lit(written)))) == want
 
 
-@pytest.mark.parametrize("a, b, want", [("lima", "lima", 1.0), ("ab", "cd", 0.0), ("a", "a", 1.0), ("abab", "ab", 1 / 3)])
+@pytest.mark.parametrize("a, b, want", [("lima", "lima", 1.0), ("ab", "cd", 0.0), ("a", "a", 1.0), ("abab", "ab", 1 / 3), ("rue de la gare 45000 orleans", "rue de la gare", 0.48148148148148145), ("aa", "aaa", 0.5), ("aaaa", "aaa", 2 / 3), ("paris", "pariss", 0.8), ("", "abc", 0.0), ("ab", "x", 0.0)])
 def test_similarity(spark, a, b, want):
     assert one(spark, text.similarity(F.lit(a), F.lit(b))) == pytest.approx(want)
 

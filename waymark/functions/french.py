@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -85,11 +85,6 @@ _ADDRESS = rf"(?iu)(\b\d{{1,4}}( *({ORDINAL}))?,? +({_TYPES}) .*(\d{{5}})?).*"
 _GLUED = rf"(?i)^(\d{{1,4}})({ORDINAL})$"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _rewritten(text: Column, rules: Iterable[tuple[str, str]], flags: str = "") -> Column:
     for pattern, new in rules:
         text = F.regexp_replace(text, flags + pattern, new)
@@ -153,9 +148,9 @@ def _numbered(glued: Column) -> Column:
     def flagged(words: Column) -> Column:
         may = lambda x, j: x["value"].rlike(r"^\b\d{1,4}[a-z]?\b") & ((x["at"] == 0) | F.coalesce(F.get(words, j + 1)["value"].rlike(rf"(?iu)^\b({_TYPES})\b"), F.lit(False)))
         first = F.array_min(F.transform(words, lambda x, j: F.when(may(x, j), j)))
-        return _let(first, lambda f: F.transform(words, lambda x, j: F.struct(x["value"].alias("value"), x["at"].alias("at"), F.coalesce(j == f, F.lit(False)).alias("housenumber"))))
+        return T.let(first, lambda f: F.transform(words, lambda x, j: F.struct(x["value"].alias("value"), x["at"].alias("at"), F.coalesce(j == f, F.lit(False)).alias("housenumber"))))
 
-    return _let(folded, flagged)
+    return T.let(folded, flagged)
 
 
 def _tokens(text: Column, synonyms: dict[str, str]) -> Column:
@@ -167,7 +162,7 @@ def _tokens(text: Column, synonyms: dict[str, str]) -> Column:
         parts = F.filter(F.split(meant(x["value"]), r"\s+"), lambda p: p != "")
         return F.transform(parts, lambda p, k: F.struct(phonemes(p).alias("value"), x["housenumber"].alias("housenumber"), x["at"].alias("at"), k.alias("part")))
 
-    return F.flatten(F.transform(_let(_let(words, _glued), _numbered), spoken))
+    return F.flatten(F.transform(T.let(T.let(words, _glued), _numbered), spoken))
 
 
 def index_tokens(text: Column, synonyms: dict[str, str] | None = None) -> Column:

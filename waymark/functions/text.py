@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,14 +58,26 @@ def bigrams(text: Column) -> Column:
     return F.when(n >= 2, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def similarity(a: Column, b: Column) -> Column:
-    """Multiset Jaccard similarity of the bigrams of two texts; two single characters compare as such."""
-    x, y = bigrams(a), bigrams(b)
+    """Multiset Jaccard similarity of the bigrams of two texts; two single characters compare as such.
+
+    Pairs are counted one by one only where both texts repeat some; otherwise those in common are a set.
+    """
     times = lambda grams, g: F.size(F.filter(grams, lambda h: h == g))
-    shared = F.aggregate(F.array_distinct(x), F.lit(0), lambda s, g: s + F.least(times(x, g), times(y, g)))
-    both = F.size(x) + F.size(y) - shared
+
+    def shared(g: Column) -> Column:
+        x, y = g["x"], g["y"]
+        once = (F.size(F.array_distinct(x)) == F.size(x)) | (F.size(F.array_distinct(y)) == F.size(y))
+        counted = let(F.array_intersect(x, y), lambda common: F.when(once, F.size(common)).otherwise(F.aggregate(common, F.lit(0), lambda s, p: s + F.least(times(x, p), times(y, p)))))
+        return let(counted, lambda n: F.when(n == 0, 0.0).otherwise(n / (F.size(x) + F.size(y) - n)))
+
     short = (F.char_length(a) < 2) | (F.char_length(b) < 2)
-    return F.when(short, (a == b).cast("double")).otherwise(F.when(shared == 0, 0.0).otherwise(shared / both))
+    return F.when(short, (a == b).cast("double")).otherwise(let(F.struct(bigrams(a).alias("x"), bigrams(b).alias("y")), shared))
 
 
 def rounded(x: Column) -> Column:

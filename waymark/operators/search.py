@@ -49,7 +49,7 @@ def scored(queries: DataFrame, found: DataFrame, documents: DataFrame, limit: in
     center = {"lat", "lon"} <= set(queries.columns)
     asked = queries.select("qid", text.fold(F.col("query")).alias("q"), *([F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon")] if center else []))
     rows = found.select("qid", "doc").join(asked, "qid").join(documents, "doc").withColumn("labels", labels())
-    near = french.best_similarity(F.transform("labels", lambda x: text.similarity(text.fold(x), F.col("q"))))
+    near = text.let(F.transform("labels", lambda x: text.similarity(text.fold(x), F.col("q"))), french.best_similarity)
     rows = rows.withColumn("str_distance", near)
     total, weight = F.col("importance") * IMPORTANCE_WEIGHT + F.col("str_distance"), F.lit(1.0 + IMPORTANCE_WEIGHT)
     if center:
