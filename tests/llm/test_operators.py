@@ -74,6 +74,39 @@ def test_simhash(docs, spark):
     assert {r.doc_id: r.component_id for r in simhash.near_groups(rows, 2).collect()} == dict(enumerate(up))
 
 
+def near_texts():
+    """Texts whose five-word shingle sets are just above and below a Jaccard similarity of 0.8, of several lengths, chains of them and loose ends."""
+    rng, out = np.random.default_rng(5), [None, "", " ", "a b", "A  b", "a b c d e", "a b c d e f"]
+    for n in (12, 24, 45, 90, 225, 450):  # one end changed by c words changes c shingles: (n - c) / (n + c)
+        for extra in (-3, -1, 0, 1, 3):
+            words = [f"w{x}" for x in rng.integers(0, 1 << 40, n + 4)]
+            c = max(1, n // 9 + extra)
+            out += [" ".join(words), " ".join(words[:-c] + [f"v{x}" for x in rng.integers(0, 1 << 40, c)])]
+            if extra == 0:
+                out.append(" ".join([f"u{x}" for x in rng.integers(0, 1 << 40, c)] + words[c:]))  # like the first, not like the second
+    return out
+
+
+def brute_groups(texts, k=5):
+    """The first text of each component of exact links."""
+    sets = [frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset() for w in ((t or "").encode().lower().split() for t in texts)]
+    top = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = top[i], top[j]
+                top = [min(a, b) if x in (a, b) else x for x in top]
+    return set(top)
+
+
+def test_one_of_each(spark):
+    texts = near_texts()
+    want = brute_groups(texts)
+    assert 0 < len(want) < len(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[-1]), (3, texts[3])], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.one_of_each(rows).collect()) == sorted(want)
+
+
 def test_packing():
     counts = {1: 5, 3: 4, 7: 2, 10: 3}
     spans = collections.defaultdict(list)

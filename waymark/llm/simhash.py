@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .store import written
+from .words import mix
 
 SEED = 42
 #: Estimated cost of a probe row, in verified candidates.
@@ -52,6 +53,12 @@ def fingerprint(words: list[bytes], k: int, seeds: tuple[int, ...] = (SEED,)) ->
     return out
 
 
+def shingles(words: list[bytes], k: int) -> np.ndarray:
+    """Sorted XXH64 of the distinct k-word shingles; texts of fewer words are one shingle, those without words have none."""
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[i : i + k]), SEED) for i in range(max(1, len(words) - k + 1))] if words else [], dtype=np.uint64))
+
+
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -304,22 +311,152 @@ def near_groups(prints: DataFrame, distance: int, words: int = 1, ratio: float =
     return mine.join(named, ["fps", "size"]).drop("size")
 
 
-#: Four words of fingerprint, of which the first is indexed. At a Jaccard similarity of 0.8 two texts' shingle sets are
-#: 0.48 apart in angle, so 15 % of the bits differ: 10 of 64 and 39 of 256 on average.
+#: Shingle sets are alike where their Jaccard similarity is 4 / 5 or more.
+ALIKE = (4, 5)
+#: Candidates agree in all MIN_ROWS minimum hashes of one of MIN_BANDS bands; a pair at 0.8 misses with chance (1 - 0.8 ** 4) ** 24 = 3e-6.
+MIN_ROWS = 4
+MIN_BANDS = 24
+#: Four words of fingerprint. At a Jaccard similarity of 0.8 two texts' shingle sets are 0.48 apart in angle, so 15 % of the bits
+#: differ: 10 of 64 (deviation 3) and 39 of 256 (deviation 6) on average, and at most 19 % for any sizes of sets. The limits stand beyond that by 4 deviations or more.
 DEDUP_SEEDS = (42, 43, 44, 45)
-DEDUP_DISTANCE = 14
-DEDUP_WIDE = 48
-DEDUP_RATIO = 0.75
+DEDUP_DISTANCE = 30
+DEDUP_WIDE = 75
+
+_MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, MIN_ROWS * MIN_BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands(shingles: np.ndarray) -> np.ndarray:
+    """One key per band over the minimum hashes of a set of shingle hashes; an empty set has none."""
+    if not len(shingles):
+        return np.zeros(0, np.uint64)
+    least = np.full(len(_MULTIPLIERS), ~np.uint64(0))
+    for i in range(0, len(shingles), 1_024):
+        x = shingles[i : i + 1_024, None] * _MULTIPLIERS
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD1342543DE82EF95)
+        np.minimum(least, x.min(axis=0), out=least)
+    key = np.arange(MIN_BANDS, dtype=np.uint64)
+    for column in least.reshape(MIN_BANDS, MIN_ROWS).T:
+        key = mix(key * np.uint64(0xD1342543DE82EF95) + column)
+    return key
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+def shingle_prints(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, t (hash of the text), node (hash of the set of k-word shingles), size (of that set), fps and bands of every row."""
+
+    def run(batches):
+        for batch in (whole.slice(i, 1_000) for whole in batches for i in range(0, whole.num_rows, 1_000)):
+            nodes, sizes, fps, keys_ = [], [], [], []
+            for text in batch.column(2):
+                words = _words(text.as_py())
+                own = shingles(words, k)
+                nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                sizes.append(len(own))
+                fps.append(np.array(fingerprint(words, k, DEDUP_SEEDS), dtype=np.uint64).view(np.int64))
+                keys_.append(bands(own).view(np.int64))
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (fps, keys_)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), *lists], names=["doc_id", "t", "node", "size", "fps", "bands"])
+
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text")).mapInArrow(run, "doc_id long, t long, node long, size long, fps array<long>, bands array<long>")
+
+
+def _runs(batches):
+    """Batches of whole runs of equal values of the first column, by which the rows are sorted."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy(zero_copy_only=False)
+        last = int(np.searchsorted(key, key[-1]))
+        if last or held and held[0].column(0)[0].as_py() != key[0]:
+            yield pa.concat_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _bounds(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of equal keys that have two rows or more."""
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+    many = np.diff(edges) > 1
+    return edges[:-1][many], edges[1:][many]
+
+
+def candidate_links(nodes: DataFrame) -> DataFrame:
+    """Links (a, b) that span all components of candidates: nodes of one band whose fingerprints and sizes allow a similarity of 0.8."""
+    words = len(DEDUP_SEEDS)
+
+    def meet(batches):
+        for run in _runs(batches):
+            node, size = (run.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
+            fps = np.asarray(run.column(3).flatten()).view(np.uint64).reshape(-1, words)
+            out = []
+            for s, e in zip(*_bounds(run.column(0).to_numpy(zero_copy_only=False))):
+                out += [(node[s + i], node[s + j]) for i, j in bucket_links(fps[s:e], np.zeros(e - s, bool), size[s:e], DEDUP_DISTANCE, ALIKE[0] / ALIKE[1] - 1e-9, DEDUP_WIDE)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+
+    n = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 12)
+    keyed = nodes.select(F.explode("bands").alias("key"), "node", "size", "fps")
+    return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").distinct()
+
+
+def alike(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set of distinct values the first of all sets that links of a Jaccard similarity of ALIKE or more lead to."""
+    sizes = np.array([len(x) for x in sets])
+    _, value = np.unique(np.concatenate(sets), return_inverse=True)
+    holders = np.repeat(np.arange(len(sets)), sizes)[np.argsort(value, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(value))])
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    links, left = Links(len(sets)), len(sets) - 1
+    for i in range(len(sets)):
+        own = value[at[i] : at[i + 1]]
+        n = first[own + 1] - first[own]
+        shared = np.bincount(holders[np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets))
+        for j in np.flatnonzero(ALIKE[1] * shared >= ALIKE[0] * (sizes + sizes[i] - shared)).tolist():
+            left -= links.join(i, j)
+        if not left:
+            break
+    return links.tops()
+
+
+def exact_groups(docs: DataFrame, nodes: DataFrame, k: int, text_col: str = "text") -> DataFrame:
+    """node, group (one of its nodes) of the nodes that have candidates: components of links of 0.8 or more, measured on the shingle sets.
+
+    The sets of one component of candidates meet in one task.
+    """
+    linked = components(candidate_links(nodes)).join(nodes.select("node", "t"), "node")
+    text = F.col(f"`{text_col}`").cast("string")
+    texts = docs.select(F.xxhash64(text).alias("t"), text.alias("text")).join(linked, "t").dropDuplicates(["node"])
+
+    def verify(batches):
+        for run in _runs(batches):
+            node = run.column(1).to_numpy(zero_copy_only=False)
+            for s, e in zip(*_bounds(run.column(0).to_numpy(zero_copy_only=False))):
+                tops = alike([shingles(_words(x.as_py()), k) for x in run.column(2).slice(s, e - s)])
+                yield pa.RecordBatch.from_arrays([pa.array(node[s:e]), pa.array(node[s:e][tops])], names=["node", "group"])
+
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 12)
+    return texts.select("component", "node", "text").repartition(n, "component").sortWithinPartitions("component").mapInArrow(verify, "node long, group long")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, without near-duplicates of k-word shingles: of each group the row of the smallest id stays.
 
-    Rows that repeat id and text are one. Texts without words are alike. Null ids stay only where their group has no other.
+    Groups are the components of links of a Jaccard similarity of 0.8 or more between sets of distinct shingles; minimum hashes and
+    fingerprints only find the candidates. Rows that repeat id and text are one. Texts without words are alike. Null ids stay only where
+    their group has no other.
     """
-    prints = written(fingerprints(docs, k, id_col, text_col, DEDUP_SEEDS), "prints")
-    groups = near_groups(prints, DEDUP_DISTANCE, len(DEDUP_SEEDS), DEDUP_RATIO, DEDUP_WIDE)
-    stays = groups.select(F.col("component_id").alias("__stays")).distinct()
+    prints = shingle_prints(docs, k, id_col, text_col)
+    nodes = written(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("t").alias("t"), *(F.first(c).alias(c) for c in ("size", "fps", "bands"))), "nodes")
+    groups = nodes.select("node", "least").join(exact_groups(docs, nodes, k, text_col), "node", "left")
+    stays = groups.groupBy(F.coalesce("group", "node").alias("group")).agg(F.min("least").alias("__stays")).select("__stays").distinct()
     return docs.join(stays, F.col(f"`{id_col}`").eqNullSafe(F.col("__stays")), "left_semi").dropDuplicates([id_col, text_col])
 
 
