@@ -107,6 +107,20 @@ def test_one_of_each(spark):
     assert sorted(r.doc_id for r in simhash.one_of_each(rows).collect()) == sorted(want)
 
 
+def test_one_of_each_with_repeated_lines(spark):
+    rng = np.random.default_rng(6)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    texts = []
+    for n in (60, 90, 150):
+        words, line = fresh(n), fresh(10)
+        texts += [" ".join(words), " ".join(words + words[-4:] * 60), " ".join(words[:20] + words[16:20] * 50 + words[20:])]  # the same sets but for 4 shingles, or 8
+        texts += [" ".join(line * 20 + fresh(n)), " ".join(line * 20 + fresh(n))]  # different texts with the same line
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_groups(texts)
+    assert len(want) == 9
+    assert sorted(r.doc_id for r in simhash.one_of_each(rows).collect()) == sorted(want)
+
+
 def test_packing():
     counts = {1: 5, 3: 4, 7: 2, 10: 3}
     spans = collections.defaultdict(list)

@@ -31,19 +31,21 @@ BLOCK = 2_048
 TILE = 256
 
 
-def fingerprint(words: list[bytes], k: int, seeds: tuple[int, ...] = (SEED,)) -> list[int]:
-    """64 majority bits per seed over the XXH64 of all k-word shingles, repeats included; 0 without words."""
+def fingerprint(words: list[bytes], k: int, seeds: tuple[int, ...] = (SEED,), distinct: bool = False) -> list[int]:
+    """64 majority bits per seed over the XXH64 of all k-word shingles, repeats included unless distinct; 0 without words."""
     if not words:
         return [0] * len(seeds)
     line = memoryview(b" ".join(words))
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
-    n = max(1, len(words) - k + 1)
-    spans = list(zip(starts[:n], ends[min(k, len(words)) - 1 :].tolist()))
+    spans = [line[a:b] for a, b in zip(starts[: max(1, len(words) - k + 1)], ends[min(k, len(words)) - 1 :].tolist())]
+    if distinct:
+        spans = list(dict.fromkeys(spans))
+    n = len(spans)
     out = []
     for seed in seeds:
         digest = xxhash.xxh64_intdigest
-        h = np.array([digest(line[a:b], seed) for a, b in spans], dtype=np.uint64)
+        h = np.array([digest(x, seed) for x in spans], dtype=np.uint64)
         eight = h.view(np.uint8).reshape(-1, 8)
         bits = 0
         for byte in range(8):
@@ -356,7 +358,7 @@ def shingle_prints(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: st
                 own = shingles(words, k)
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                 sizes.append(len(own))
-                fps.append(np.array(fingerprint(words, k, DEDUP_SEEDS), dtype=np.uint64).view(np.int64))
+                fps.append(np.array(fingerprint(words, k, DEDUP_SEEDS, distinct=True), dtype=np.uint64).view(np.int64))
                 keys_.append(bands(own).view(np.int64))
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (fps, keys_)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), *lists], names=["doc_id", "t", "node", "size", "fps", "bands"])
