@@ -55,6 +55,22 @@ def test_lm(docs):
             assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-4)
 
 
+def test_lm_counts_every_pair(docs, tmp_path):
+    more = docs.union(docs.sparkSession.createDataFrame([(90, "once seen words a b", "s0"), (91, "a once b", "s0"), (92, "b seen", None)], docs.schema))
+    more.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(r.doc_id, (r.text or "").encode().split()) for r in more.collect()]
+    one = collections.Counter(w for _, x in rows for w in x)
+    two = collections.Counter(p for _, x in rows for p in zip(x, x[1:]))
+    assert 1 in two.values() and 1 in one.values()
+    total = sum(one.values())
+    want = [(doc, len(x), sum(math.log(two[x[i - 1], w] / one[x[i - 1]]) if i else math.log(one[w] / total) for i, w in enumerate(x))) for doc, x in rows]
+    for made in (lm.op6_lm(docs.sparkSession, str(tmp_path)), lm.bigram_scores(more, vocabulary=0, least=1)):
+        got = sorted((tuple(r) for r in made.collect()), key=key)
+        assert len(got) == len(want)
+        for a, b in zip(got, sorted(want, key=key)):
+            assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-4)
+
+
 def test_simhash(docs, spark):
     prints = {(r.doc_id, r.fps[0] % (1 << 64)) for r in simhash.fingerprints(docs).collect()}
     for r in docs.collect():
