@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import shutil
 import zlib
 
 import numpy as np
@@ -153,6 +154,21 @@ def test_packing():
     assert len(spans) == 7 and packing.cut(2500, 1024) == [(0, 452), (452, 1024), (1476, 1024)]
 
 
+def test_coders_agree(tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    shutil.copy(path, tmp_path / "alone.json")  # without the tiktoken file
+    by_file = Tokenizer.from_file(path)
+    end = "<|endoftext|>"
+    texts = [t or "" for t in TEXTS] + [f"a {end} b", f"{end}{end}x  {end}", f"a{end}  b\n", "<|endoftext|", "don't 12345  \n\n\tx  ", "naïve 東京 🙂\u200d\u00a0 ß", "\x00\r\n"]
+    for text in texts:
+        want = by_file.encode(text, add_special_tokens=False).ids
+        assert list(packing.coder(path)(text)) == want and list(packing.coder(str(tmp_path / "alone.json"))(text)) == want
+    assert list(packing.coder(path)(f"a {end} b")) == [64, 220, 50256, 275]
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "u", "aa"), (2, "v", "aa"), (2, "v", "aa"), (3, None, None), (None, "é x", ""), (None, None, "é\r\n\r\nWARC/1.1\r\n" * 6000)]
     warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), f"{tmp_path}/w")
