@@ -1,9 +1,9 @@
-"""Bulk-synchronous best-fit packing of token sequences.
+"""Best-fit decreasing packing of token sequences over a histogram of lengths.
 
-Pieces and gaps are sorted by length. A sorted column of lengths has at most `capacity` runs of equal values, so one
-round of the sweep matches runs and not rows: the longest run of pieces that is left meets the tightest run of gaps
-that holds it; where more pieces than gaps meet, the pieces of lowest rank win and the others go on to the next gap; gaps are
-updated and the next round begins. The rounds write down flows (which ranks of a length went to which sequences at which
+This is not the bulk-synchronous sweep over sorted rows: Spark counts the pieces of each length, of which there are at most `capacity`
+values, and one sequential loop on the driver matches runs of equal lengths: the longest run of pieces that is left meets the
+tightest run of gaps that holds it; where more pieces than gaps meet, the pieces of lowest rank win and the others go on to the next gap. The
+loop writes down flows (which ranks of a length went to which sequences at which
 offset). Their number depends on the capacity, not on the rows; each piece then finds its place by its rank among the pieces
 of its length, which Spark counts in salted parts.
 """
