@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import written
-from .words import mix
+from .store import free_names, written
+from .words import mix, settled
 
 SEED = 42
 #: Estimated cost of a probe row, in verified candidates.
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col:
                 sizes.append(max(1, len(words) - k + 1) if words else 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], names=["doc_id", "fps", "n_shingles"])
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "doc_id long, fps array<long>, n_shingles long")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(settled(run), "doc_id long, fps array<long>, n_shingles long")
 
 
 @dataclass(frozen=True)
@@ -101,7 +101,7 @@ def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
             rows += len(x)
         yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64()), pa.array([total.ravel()], pa.list_(pa.int64()))], names=["rows", "both"])
 
-    parts = fps.mapInArrow(run, "rows long, both array<long>")
+    parts = fps.mapInArrow(settled(run), "rows long, both array<long>")
     summed = parts.select("rows", F.posexplode("both")).groupBy("pos").agg(F.sum("rows").alias("rows"), F.sum("col").alias("n")).collect()  # 4096 rows
     both = np.zeros(4096, dtype=np.int64)
     for r in summed:
@@ -292,8 +292,8 @@ def near_links(distinct: DataFrame, distance: int, words: int = 1, ratio: float
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 12)
-    probed = distinct.select("node", "fps", "size").mapInArrow(probe, "key long, probe boolean, node long, size long, fps array<long>")
-    return probed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").distinct()
+    probed = distinct.select("node", "fps", "size").mapInArrow(settled(probe), "key long, probe boolean, node long, size long, fps array<long>")
+    return probed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(settled(meet), "a long, b long").distinct()
 
 
 def near_groups(prints: DataFrame, distance: int, words: int = 1, ratio: float = 0.0, wide_distance: int = 64) -> DataFrame:
@@ -364,7 +364,7 @@ def shingle_prints(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), *lists], names=["doc_id", "t", "node", "size", "fps", "bands"])
 
     text = F.col(f"`{text_col}`").cast("string")
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text")).mapInArrow(run, "doc_id long, t long, node long, size long, fps array<long>, bands array<long>")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text")).mapInArrow(settled(run), "doc_id long, t long, node long, size long, fps array<long>, bands array<long>")
 
 
 def _runs(batches):
@@ -406,7 +406,7 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
 
     n = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 12)
     keyed = nodes.select(F.explode("bands").alias("key"), "node", "size", "fps")
-    return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").distinct()
+    return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(settled(meet), "a long, b long").distinct()
 
 
 def alike(sets: list[np.ndarray]) -> np.ndarray:
@@ -445,7 +445,7 @@ def exact_groups(docs: DataFrame, nodes: DataFrame, k: int, text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array(node[s:e]), pa.array(node[s:e][tops])], names=["node", "group"])
 
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 12)
-    return texts.select("component", "node", "text").repartition(n, "component").sortWithinPartitions("component").mapInArrow(verify, "node long, group long")
+    return texts.select("component", "node", "text").repartition(n, "component").sortWithinPartitions("component").mapInArrow(settled(verify), "node long, group long")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -458,8 +458,9 @@ def one_of_each(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: s
     prints = shingle_prints(docs, k, id_col, text_col)
     nodes = written(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("t").alias("t"), *(F.first(c).alias(c) for c in ("size", "fps", "bands"))), "nodes")
     groups = nodes.select("node", "least").join(exact_groups(docs, nodes, k, text_col), "node", "left")
-    stays = groups.groupBy(F.coalesce("group", "node").alias("group")).agg(F.min("least").alias("__stays")).select("__stays").distinct()
-    return docs.join(stays, F.col(f"`{id_col}`").eqNullSafe(F.col("__stays")), "left_semi").dropDuplicates([id_col, text_col])
+    (name,) = free_names(docs, "stays")
+    stays = groups.groupBy(F.coalesce("group", "node").alias("group")).agg(F.min("least").alias(name)).select(name).distinct()
+    return docs.join(stays, F.col(f"`{id_col}`").eqNullSafe(F.col(name)), "left_semi").dropDuplicates([id_col, text_col])
 
 
 def op2_simhash(spark, sf_dir):

@@ -6,14 +6,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Only for sessions that name no checkpoint folder, such as those of tests.
+#: Only for sessions of one machine that name no checkpoint folder, such as those of tests.
 FALLBACK_DIR = "/tmp/checkpoints/waymark"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; set to FALLBACK_DIR where the session has none."""
+    """The folder of spark.checkpoint.dir; set to FALLBACK_DIR where a session of one machine has none. A cluster must name one."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         named = FALLBACK_DIR
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -33,6 +35,18 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """names with as many underscores before them as keep them apart from df's columns, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def dropped(spark: SparkSession) -> None:
     """Removes every table that this application has written; results that still read them end with it."""
     jvm = spark.sparkContext._jvm

@@ -5,7 +5,8 @@ A word is a run of bytes other than space and \\x09-\\x0D, as in [^\\x20\\x09-\\
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ import pyarrow as pa
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
-_SPAN = 1 << 21
+_SPAN = 1 << 20
 _powers: list[np.ndarray] = []
 
 
@@ -37,6 +38,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def settled(run: Callable) -> Callable:
+    """run, a function over Arrow batches, which gives back what its process no longer needs when a task ends: workers are used again."""
+
+    def inner(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return inner
+
+
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and bytes of a string column; nulls count as empty."""
     if pa.types.is_large_string(column.type):
@@ -50,7 +64,7 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off, np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
-def chunks(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices of rows of about `most` bytes: first row, row after the last, offsets from 0, bytes."""
     off, data = string_buffers(column)
     i, n = 0, len(column)
