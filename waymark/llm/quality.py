@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
 A text's vector is the mean of learned vectors of hashed features: its words, their character 3- to 5-grams, word ends
-included, and one feature that all word pairs of equal words share. NEUTRAL further features without a vector keep the
+included, and one feature that all pairs of equal neighbouring words share. A text's score depends on nothing but the text. NEUTRAL further features without a vector keep the
 means of very short texts small. A softmax layer gives the label. Both are trained by numpy stochastic gradient descent on a bounded sample of
 labelled rows (SAMPLE texts of at most LONGEST bytes, the first by a hash of their id).
 """
@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import _BLANK, hashes, places, string_buffers
+from .words import _BLANK, hashes, places, settled, string_buffers
 
 SAMPLE = 4_000
-LONGEST = 100_000
+LONGEST = 20_000
 BITS = 17
 DIM = 16
 GRAMS = (3, 4, 5)
@@ -29,8 +29,15 @@ SPAN = 1 << 18
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def features(data: bytes, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of UTF-8 text, which must begin and end between words: position of each, in code points, and bucket."""
+#: The feature of a word that repeats the one before it.
+REPEATED = 1
+
+
+def features(data: bytes, bits: int = BITS, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of UTF-8 text, which must begin and end between words: position of each, in code points, and bucket.
+
+    breaks: positions where a text of its own begins; words on both sides of one are no pair.
+    """
     chars = np.frombuffer((b" " + data + b" ").decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
     blank = (chars < 33) & _BLANK[np.minimum(chars, 255)]
     c = np.where(blank, np.uint32(32), chars).astype(np.uint64)
@@ -51,8 +58,11 @@ def features(data: bytes, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
         where.append(at)
         bucket.append(word * _A >> shift)
         pair = np.flatnonzero(word[1:] == word[:-1]) + 1
+        if breaks is not None:
+            text = np.searchsorted(breaks, at, side="right")
+            pair = pair[text[pair] == text[pair - 1]]
         where.append(at[pair])
-        bucket.append(np.full(len(pair), 1, dtype=np.uint64))
+        bucket.append(np.full(len(pair), REPEATED, dtype=np.uint64))
     return np.concatenate(where), np.concatenate(bucket).astype(np.int64)
 
 
@@ -105,7 +115,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, longest: int = LONGEST) -> Model:
-    """A model of the first `sample` labelled rows, by a hash of the id, that are not held out."""
+    """A model of the first `sample` labelled rows, by a hash of the id, that are not held out.
+
+    Labels other than 0 and 1 don't count, of several labels of an id the largest does. Without any labelled row every text scores 0.5.
+    The driver holds `sample` texts of `longest` bytes at most.
+    """
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     marks = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")).filter("label in (0, 1)").filter(~held_out(F.col("doc_id")))
     chosen = marks.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -114,13 +128,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """doc_id, score (0 to 1) and predicted of every row. Null and empty texts get the score of the bias alone."""
+    """doc_id, score (0 to 1) and predicted of every row. Null and empty texts get the score of the bias alone; equal texts get equal scores.
+
+    Repeated rows and null ids are rows of their own, an empty table gives an empty result. Texts of over SPAN bytes are read in parts
+    that end between words; only a single word longer than that is cut, and its n-grams over the cut are left out.
+    """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return _scored(rows, "text", model, threshold).drop("text")
 
 
 def kept(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, all columns, whose texts score the threshold or more."""
+    """The rows of docs, all columns, whose texts score the threshold or more; further columns of any name stay as they are."""
     name = "predicted"
     while name in docs.columns or "score" + name in docs.columns:
         name += "_"
@@ -143,14 +161,20 @@ def _scored(rows: DataFrame, text_col: str, model: Model, threshold: float, scor
                 while j < len(total) and off[j + 1] - off[i] <= SPAN:
                     j += 1
                 if j == i + 1 and off[j] - off[i] > SPAN:  # a long text: in parts
+                    last = b""
                     for part in _parts(data[off[i] : off[j]].tobytes(), SPAN):
                         _, bucket = features(part)
                         total[i] += w[bucket].sum(dtype=np.float64)
                         count[i] += len(bucket)
+                        words = part.split()
+                        if words and words[0] == last and part[:1].isspace():  # the pair over the seam
+                            total[i] += w[REPEATED]
+                            count[i] += 1
+                        last = words[-1] if words else last
                 else:
                     own = [data[off[k] : off[k + 1]].tobytes() for k in range(i, j)]
-                    where, bucket = features(b"\n".join(own))
                     ends = np.cumsum([len(x) - _tails(x) + 1 for x in own])
+                    where, bucket = features(b"\n".join(own), breaks=ends)
                     at = np.searchsorted(ends, where, side="right")
                     at = np.minimum(at, j - i - 1)
                     total[i:j] += np.bincount(at, weights=w[bucket], minlength=j - i)
@@ -160,7 +184,7 @@ def _scored(rows: DataFrame, text_col: str, model: Model, threshold: float, scor
             s = np.round(1 / (1 + np.exp(-z)), 9)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*batch.schema.names, score_name, name])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField(score_name, T.DoubleType()), T.StructField(name, T.IntegerType())]))
+    return rows.mapInArrow(settled(run), T.StructType([*rows.schema, T.StructField(score_name, T.DoubleType()), T.StructField(name, T.IntegerType())]))
 
 
 def _tails(x: bytes) -> int:
