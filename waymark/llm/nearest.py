@@ -22,8 +22,9 @@ DIMS = 6
 KEY_BITS = 8
 #: Share of all rows that a query sees on each side of its key. Directions without structure, the hardest case, need this much.
 REACH = 0.24
-#: Blocks of a curve at least, and rows of a block at most.
+#: Blocks of a curve, unless they would hold fewer than LEAST_ROWS rows, so that every window has candidates enough, or more than BLOCK_ROWS.
 BLOCKS = 16
+LEAST_ROWS = 256
 BLOCK_ROWS = 50_000
 SEED = 11
 
@@ -73,7 +74,7 @@ def curve_keys(vectors: np.ndarray, longest: float, curves: int = CURVES, query:
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id and v of the rows that take part: an id, and a vector of finite numbers other than zero, of the length most have."""
+    """vec_id and v of the rows that take part: an id, and a vector of finite numbers other than zero, of the length most have: those of another length have no inner product with them."""
     v = F.col(f"`{vector_col}`").cast("array<double>")
     ok = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     out = rows.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).filter(ok)
@@ -86,14 +87,16 @@ def search(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vecto
 
     is_query: a condition on vec_id. Vectors that are null, zero, or hold null or non-finite numbers take no part, nor do rows
     without an id; rows that repeat id and vector count once. Of equal vectors only the k + 1 smallest ids can be a result,
-    so large groups of copies are cut to that first. No usable rows give no result.
+    so large groups of copies are cut to that first. No usable rows give no result; further columns are left out.
     """
     spark = rows.sparkSession
     all_ = usable(rows, id_col, vector_col).dropDuplicates(["vec_id", "v"])
-    every = written(all_.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).withColumn("q", is_query(F.col("vec_id"))).filter((F.col("r") <= k + 1) | F.col("q")), "vectors")
-    stats = every.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m"), F.max(F.size("v")).alias("d")).first()
+    # the limit of the rank works before the shuffle too, so a vector that very many rows have never meets in one task
+    few = all_.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("r") <= k + 1).select("vec_id", "v", F.lit(False).alias("query"))
+    every = written(few.unionByName(all_.filter(is_query(F.col("vec_id"))).select("vec_id", "v", F.lit(True).alias("query"))), "vectors")
+    stats = every.filter("not query").agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m"), F.max(F.size("v")).alias("d")).first()
     n, longest, width = stats.n, math.sqrt(stats.m or 1.0) * (1 + 1e-12), stats.d or 1
-    blocks = max(BLOCKS, math.ceil(n / BLOCK_ROWS))
+    blocks = max(1, min(BLOCKS, n // LEAST_ROWS), math.ceil(n / BLOCK_ROWS))
     side = math.ceil(reach * blocks)
 
     def matrix(column: pa.Array) -> np.ndarray:
@@ -101,17 +104,18 @@ def search(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vecto
 
     def keyed(batches):
         for batch in batches:
-            x = matrix(batch.column(1))
+            asks = batch.column(2).to_numpy(zero_copy_only=False)
             for query in (False, True):
-                use = np.flatnonzero(batch.column(3).to_numpy(zero_copy_only=False)) if query else np.flatnonzero(batch.column(2).to_numpy(zero_copy_only=False) <= k + 1)
+                use = np.flatnonzero(asks == query)
                 if len(use):
-                    key = curve_keys(x[use], longest, curves, query)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(use)), batch.column(1).take(pa.array(use)), pa.array(np.full(len(use), query)), pa.FixedSizeListArray.from_arrays(pa.array(key.ravel()), curves).cast(pa.list_(pa.int64()))], names=["vec_id", "v", "query", "keys"])
+                    part = batch.take(pa.array(use))
+                    key = curve_keys(matrix(part.column(1)), longest, curves, query)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.FixedSizeListArray.from_arrays(pa.array(key.ravel()), curves).cast(pa.list_(pa.int64()))], names=["vec_id", "v", "query", "keys"])
 
-    found = written(every.select("vec_id", "v", "r", "q").mapInArrow(keyed, "vec_id long, v array<double>, query boolean, keys array<long>"), "curve_keys")
-    probs = [i / blocks for i in range(1, blocks)]
+    found = written(every.select("vec_id", "v", "query").mapInArrow(keyed, "vec_id long, v array<double>, query boolean, keys array<long>"), "curve_keys")
+    probs = [i / blocks for i in range(1, blocks)] or [0.5]
     bounds = found.filter("not query").agg(*(F.percentile_approx(F.element_at("keys", c + 1), probs, 10_000) for c in range(curves))).first()
-    cuts = [np.array(b if b is not None else [0] * (blocks - 1)) for b in bounds]
+    cuts = [np.array(b if b is not None else [0])[: blocks - 1] for b in bounds]
 
     def dealt(batches):
         for batch in batches:
@@ -125,17 +129,10 @@ def search(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vecto
                         yield pa.RecordBatch.from_arrays([pa.array(c * blocks + own[use] + step, pa.int64()), *(batch.column(i).take(pa.array(use)) for i in (2, 0, 1))], names=["block", "query", "vec_id", "v"])
 
     def ranked(batches):
-        block, ids, x, queries = None, [], [], []
+        """A block's rows come first and are held, BLOCK_ROWS or so; its queries stream past them."""
+        block, ids, x, names, points = None, [], [], None, None
 
-        def flush():
-            if not ids or not queries:
-                return
-            names, points = np.concatenate(ids), np.concatenate(x)
-            for q_ids, q in queries:
-                for i in range(0, len(q_ids), 256):
-                    yield from best(q_ids[i : i + 256], q[i : i + 256], names, points)
-
-        def best(q_ids, q, names, points):
+        def best(q_ids, q):
             near = q @ points.T
             near[q_ids[:, None] == names[None, :]] = -np.inf
             at = max(0, near.shape[1] - k)
@@ -146,33 +143,29 @@ def search(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vecto
                 exact = (points[use] * q[i]).sum(axis=1)
                 top = np.lexsort((names[use], -exact))[:k]
                 out.append((np.full(len(top), q_ids[i]), names[use][top], exact[top]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "vec_id", "score"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "vec_id", "score"])
 
         for batch in batches:
             at = batch.column(0).to_numpy(zero_copy_only=False)
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]])
+            asks = batch.column(1).to_numpy(zero_copy_only=False)
+            edges = np.concatenate([[0], np.flatnonzero((np.diff(at) != 0) | (asks[1:] != asks[:-1])) + 1, [len(at)]]).tolist() if len(at) else []
             for a, b in zip(edges[:-1], edges[1:]):
-                if a == b:
-                    continue
                 if at[a] != block:
-                    yield from flush()
-                    block, ids, x, queries = at[a], [], [], []
+                    block, ids, x, names = at[a], [], [], None
                 part = batch.slice(a, b - a)
-                q = part.column(1).to_numpy(zero_copy_only=False)
-                for flag, rows_ in ((False, np.flatnonzero(~q)), (True, np.flatnonzero(q))):
-                    if len(rows_):
-                        names = part.column(2).take(pa.array(rows_)).to_numpy()
-                        points = matrix(part.column(3).take(pa.array(rows_)))
-                        if flag:
-                            queries.append((names, points))
-                        else:
-                            ids.append(names)
-                            x.append(points)
-        yield from flush()
+                own, vectors = part.column(2).to_numpy(), matrix(part.column(3))
+                if not asks[a]:
+                    ids.append(own)
+                    x.append(vectors)
+                elif ids:
+                    if names is None:
+                        names, points = np.concatenate(ids), np.concatenate(x)
+                    for i in range(0, len(own), 256):
+                        yield best(own[i : i + 256], vectors[i : i + 256])
 
     spread = found.mapInArrow(dealt, "block long, query boolean, vec_id long, v array<double>")
     tasks = max(12, min(curves * blocks, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    met = spread.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(ranked, "query_id long, vec_id long, score double")
+    met = spread.repartition(tasks, "block").sortWithinPartitions("block", "query").mapInArrow(ranked, "query_id long, vec_id long, score double")
     once = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return once.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
