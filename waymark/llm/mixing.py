@@ -1,8 +1,10 @@
 """Mixing sources to target weights by blocks.
 
-Each source's words, document after document, form one stream that is cut into blocks of a fixed number of words. Output
-shards have a fixed number of slots; how many slots of a shard a source fills is a multinomial draw. A source's slots
-are numbered through all shards, and a pseudorandom permutation of its block numbers says which block a slot takes: slot
+Each source's words, document after document, form one stream that is cut into blocks of a fixed number of words (BLOCK; fewer for
+sources of few words, so that a block is at most a FINE-th of its source). Output shards have a fixed number of slots; how many
+slots of a shard a source fills is a multinomial draw that depends on the shard's number alone, so shards are drawn where they are
+made, in Spark. A source's slots are numbered through all shards; those over its quota are left out, and what all draws together
+lack of it comes in one shard more. A pseudorandom permutation of the source's block numbers says which block a slot takes: slot
 j takes block perm(j mod blocks), so a source is read again only when all of it has been read. Blocks and slots are
 joined by (source, block).
 """
@@ -14,14 +16,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import free_names, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK = 32
+#: Blocks of a source at least, if it has so many words.
+FINE = 256
 SHARD_SLOTS = 8192
-#: Parts in which a source's documents are counted.
-SALTS = 64
+#: Shards whose slots are numbered together.
+RUN = 1024
+#: Documents that one part of a source's stream is meant to hold, and parts at least.
+PART_ROWS = 50_000
+LEAST_PARTS = 64
 
 
 def targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
@@ -42,20 +49,9 @@ def targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float = 1.5, m
     return out
 
 
-def draws(quota: list[int], shard_slots: int, seed: int) -> list[list[int]]:
-    """Slots of each source in each output shard: multinomial draws whose chances are what the sources still lack, so that all quotas are met exactly in the end."""
-    lack, out, k = np.array(quota, dtype=np.int64), [], 0
-    while lack.sum() > 0:
-        rng, got = np.random.default_rng([seed, k]), np.zeros_like(lack)
-        room = int(min(shard_slots, lack.sum()))
-        while room > 0:
-            left = lack - got
-            more = np.minimum(rng.multinomial(room, left / left.sum()), left)
-            got, room = got + more, room - int(more.sum())
-        lack = lack - got
-        out.append(got.tolist())
-        k += 1
-    return out
+def drawn(shard: int, quota: list[int], shard_slots: int, seed: int) -> list[int]:
+    """Slots of each source in an output shard: a multinomial draw whose chances are the quotas."""
+    return np.random.default_rng([seed, shard]).multinomial(shard_slots, np.array(quota) / sum(quota)).tolist()
 
 
 #: Fixed primes over 2^20, of which a permutation takes those prime to its range.
@@ -82,33 +78,46 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """doc_id, source, size in words (null text: 0) and the salt in whose order a source's stream runs."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("tie"))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(SALTS)))
+    return rows.withColumn("salt", F.xxhash64("doc_id", "tie"))
 
 
 def source_table(rows: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> list[dict]:
-    """name, size, target, blocks and quota (slots) of each source; there are as many rows as sources."""
-    sizes = {r.source: int(r.size) for r in rows.groupBy("source").agg(F.sum("size").alias("size")).collect()}
+    """name, size, target, words of a block, blocks, quota (slots) and parts of each source; there are as many rows as sources."""
+    got = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+    sizes, documents = {r.source: int(r.size) for r in got}, {r.source: r.n for r in got}
     out = []
     for name, target in targets(sizes, weights, share, most).items():
-        blocks = -(-sizes[name] // BLOCK)
+        width = max(1, min(BLOCK, sizes[name] // FINE))
+        blocks = -(-sizes[name] // width)
         mean = sizes[name] / blocks if blocks else 1
-        out.append({"source": name, "sid": len(out), "source_size": sizes[name], "target": float(target), "blocks": blocks, "quota": min(int(most) * blocks, round(target / mean))})
+        parts = max(LEAST_PARTS, -(-documents[name] // PART_ROWS))
+        out.append({"source": name, "sid": len(out), "source_size": sizes[name], "target": float(target), "width": width, "blocks": blocks, "quota": min(int(most) * blocks, round(target / mean)), "parts": parts})
     return out
 
 
 def slots(spark, sources: list[dict], seed: int = 17, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """shard, sid, slot (the source's own number) and block of every slot of the mix."""
     live = [s for s in sources if s["quota"]]
-    runs, seen = [], [0] * len(live)
+    quota, sids = [s["quota"] for s in live], [s["sid"] for s in live]
+    shards = -(-sum(quota) // shard_slots) if live else 0
+
+    def draw(batches):
+        for batch in batches:
+            got = [(k, sid, n) for k in batch.column(0).to_pylist() for sid, n in zip(sids, drawn(k, quota, shard_slots, seed)) if n]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got) if got else ([], [], []), (pa.int64(), pa.int32(), pa.int64()))], names=["shard", "sid", "n"])
+
+    parts = max(8, spark.sparkContext.defaultParallelism)
+    runs = spark.range(0, shards, 1, parts).mapInArrow(draw, "shard long, sid int, n long").withColumn("run", F.floor(F.col("shard") / RUN))
+    # slots before a shard: those of earlier runs of shards, and of earlier shards of its run
+    sums = runs.groupBy("sid", "run").agg(F.sum("n").alias("n"))
+    earlier = lambda *key: F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy("run" if len(key) == 1 else "shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = sums.select("sid", "run", earlier("sid").alias("base"))
+    placed = runs.withColumn("before", earlier("sid", "run")).join(base, ["sid", "run"]).select("shard", "sid", (F.col("base") + F.col("before")).alias("first"), "n")
     perms = [[x for pair in permutation(s["blocks"], seed * 1_000_003 + s["sid"], 2) for x in pair] for s in live]
-    for k, got in enumerate(draws([s["quota"] for s in live], shard_slots, seed)):
-        for j, n in enumerate(got):
-            if n:
-                runs.append((k, live[j]["sid"], live[j]["blocks"], seen[j], n, *perms[j]))
-                seen[j] += n
-    rows = spark.createDataFrame(runs, "shard long, sid int, blocks long, first long, n long, s0 long, m0 long, s1 long, m1 long")
-    rows = rows.repartition(max(8, spark.sparkContext.defaultParallelism), "shard", "sid")
-    slot = rows.withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
+    known = spark.createDataFrame([(s["sid"], s["quota"], s["blocks"], *p) for s, p in zip(live, perms)], "sid int, quota long, blocks long, s0 long, m0 long, s1 long, m1 long")
+    lack = known.join(sums.groupBy("sid").agg(F.sum("n").alias("n")), "sid", "left").select(F.lit(shards).cast("long").alias("shard"), "sid", F.coalesce("n", F.lit(0)).alias("first"), (F.col("quota") - F.coalesce("n", F.lit(0))).alias("n"))
+    rows = placed.unionByName(lack).join(F.broadcast(known), "sid").withColumn("end", F.least(F.col("first") + F.col("n"), F.col("quota"))).filter("end > first")
+    slot = rows.withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("end") - 1)))
     block = permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), [(F.col("s0"), F.col("m0")), (F.col("s1"), F.col("m1"))])
     return slot.select("shard", "sid", "slot", block.alias("block"))
 
@@ -116,15 +125,15 @@ def slots(spark, sources: list[dict], seed: int = 17, shard_slots: int = SHARD_S
 def blocks(rows: DataFrame, sources: list[dict]) -> DataFrame:
     """doc_id, tie, sid, block, first word and number of words of each document's part in each block of its source."""
     spark = rows.sparkSession
-    names = spark.createDataFrame([(s["source"], s["sid"]) for s in sources], "source string, sid int")
-    keyed = rows.join(F.broadcast(names), rows.source.eqNullSafe(names.source)).select("doc_id", "tie", "size", "sid", "salt")
+    names = spark.createDataFrame([(s["source"], s["sid"], s["width"], s["parts"]) for s in sources], "source string, sid int, width int, parts long")
+    keyed = rows.join(F.broadcast(names), rows.source.eqNullSafe(names.source)).select("doc_id", "tie", "size", "sid", "width", F.pmod(F.col("salt"), F.col("parts")).alias("salt"))
     sums = keyed.groupBy("sid", "salt").agg(F.sum("size").alias("n"))
     base = sums.select("sid", "salt", F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     before = F.coalesce(F.sum("size").over(Window.partitionBy("sid", "salt").orderBy("doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = keyed.withColumn("before", before).join(F.broadcast(base), ["sid", "salt"]).withColumn("at", F.col("base") + F.col("before")).filter("size > 0")
-    part = placed.select("doc_id", "tie", "sid", "size", "at", F.explode(F.sequence(F.floor(F.col("at") / BLOCK), F.floor((F.col("at") + F.col("size") - 1) / BLOCK))).alias("block"))
-    first = F.greatest(F.col("block") * BLOCK - F.col("at"), F.lit(0))
-    last = F.least((F.col("block") + 1) * BLOCK - F.col("at"), F.col("size"))
+    placed = keyed.withColumn("before", before).join(base, ["sid", "salt"]).withColumn("at", F.col("base") + F.col("before")).filter("size > 0")
+    part = placed.select("doc_id", "tie", "sid", "size", "width", "at", F.explode(F.sequence(F.floor(F.col("at") / F.col("width")), F.floor((F.col("at") + F.col("size") - 1) / F.col("width")))).alias("block"))
+    first = F.greatest(F.col("block") * F.col("width") - F.col("at"), F.lit(0))
+    last = F.least((F.col("block") + 1) * F.col("width") - F.col("at"), F.col("size"))
     return part.select("doc_id", "tie", "sid", "block", first.alias("first_word"), (last - first).alias("n_words"))
 
 
@@ -152,27 +161,32 @@ def taken(rows: DataFrame, sources: list[dict], seed: int = 17) -> DataFrame:
 
 
 def mixed(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs as the mix takes them, all columns: a row per document with the words of the blocks taken, and a second one with those taken twice."""
+    """docs as the mix takes them, all columns: a row per document with the words of the blocks taken, and a second one with those taken twice.
+
+    Null and empty texts have no words and don't appear; of rows alike in id, text and source each gets its share; an empty table gives an empty mix.
+    Columns may have any names.
+    """
+    d_, t_, s_, parts_, alike_ = free_names(docs, "d", "t", "s", "parts", "alike")
     rows = written(sized(docs, id_col, text_col, source_col), "mix_sizes")
     sources = source_table(rows)
     names = docs.sparkSession.createDataFrame([(s["source"], s["sid"]) for s in sources], "name string, sid int")
     alike = rows.groupBy("doc_id", "tie", "source").agg(F.count("*").alias("alike"))
     # parts of rows alike lie one after another; each such row gets the parts of its own words, modulo the size
     part = mix(rows, sources, seed).groupBy("doc_id", "tie", "sid", "first_word", "n_words").agg(F.count("*").alias("times"))
-    parts = part.groupBy("doc_id", "tie", "sid").agg(F.collect_list(F.struct("first_word", "n_words", "times")).alias("__parts"))
+    parts = part.groupBy("doc_id", "tie", "sid").agg(F.collect_list(F.struct("first_word", "n_words", "times")).alias(parts_))
     keyed = parts.join(F.broadcast(names), "sid").join(alike.withColumnsRenamed({"doc_id": "d", "tie": "t", "source": "s"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")) & F.col("name").eqNullSafe(F.col("s")))
-    keyed = keyed.select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("s").alias("__s"), "__parts", F.col("alike").alias("__alike"))
+    keyed = keyed.select(F.col("d").alias(d_), F.col("t").alias(t_), F.col("s").alias(s_), parts_, F.col("alike").alias(alike_))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    mine = docs.withColumn("__tie", F.xxhash64(text)).join(keyed, F.col(f"`{id_col}`").eqNullSafe(F.col("__d")) & (F.col("__tie") == F.col("__t")) & F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__s")))
+    mine = docs.join(keyed, F.col(f"`{id_col}`").eqNullSafe(F.col(d_)) & (F.xxhash64(text) == F.col(t_)) & F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col(s_)))
     columns, place = docs.columns, docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
             rows_, texts = [], []
-            for i, (text, parts_, n) in enumerate(zip(batch.column(place).to_pylist(), *(batch.column(len(columns) + j).to_pylist() for j in (0, 1)))):
+            for i, (text, taken_, n) in enumerate(zip(batch.column(place).to_pylist(), *(batch.column(len(columns) + j).to_pylist() for j in (0, 1)))):
                 words = text.encode().split()
                 times = np.zeros(len(words), dtype=np.int64)
-                for p in parts_:
+                for p in taken_:
                     times[p["first_word"] : p["first_word"] + p["n_words"]] += p["times"]
                 for level in range(int(times.max(initial=0)) if n == 1 else -(-int(times.max(initial=0)) // n)):
                     take = times > level * n
@@ -182,7 +196,7 @@ def mixed(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str
             own[place] = pa.array(texts, own[place].type)
             yield pa.RecordBatch.from_arrays(own, names=columns)
 
-    return mine.select(*(f"`{c}`" for c in columns), "__parts", "__alike").mapInArrow(run, docs.schema)
+    return mine.select(*(f"`{c}`" for c in columns), parts_, alike_).mapInArrow(run, docs.schema)
 
 
 def op7_mixing(spark, sf_dir):
