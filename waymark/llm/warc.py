@@ -37,7 +37,11 @@ def record_id(page_id: int | None, sha1_hex: str, nth: int) -> str:
 
 
 def page_of(identifier: str) -> int | None:
-    n = uuid.UUID(identifier.rpartition(":")[2]).int
+    """The page's id in a record's; null for identifiers that others made."""
+    try:
+        n = uuid.UUID(identifier.rpartition(":")[2]).int
+    except ValueError:
+        return None
     mid = n >> 64
     p = (mid & 3) << 62 | n & (1 << 62) - 1
     return None if mid >> 2 & 1 else p - (1 << 64) * (p >> 63)
@@ -130,25 +134,34 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 
 
 def parse(data: bytes):
-    """(fields, block) of each record of a file; ends at the first byte that begins no record."""
+    """(fields, block) of each record of a file; ends at the first byte that begins no record, and at a head that is cut or names no length or id. A block may be cut."""
     at = 0
     while data.startswith(b"WARC/", at):
-        end = data.index(b"\r\n\r\n", at)
+        end = data.find(b"\r\n\r\n", at)
         fields = {}
-        for line in data[at:end].split(b"\r\n")[1:]:
+        for line in data[at : max(end, at)].split(b"\r\n")[1:]:
             k, _, v = line.partition(b":")
-            fields[k.strip().lower().decode()] = v.strip().decode()
+            fields[k.strip().lower().decode("utf-8", "replace")] = v.strip().decode("utf-8", "replace")
+        if not fields.get("content-length", "").isdecimal() or not {"warc-type", "warc-record-id"} <= set(fields):
+            return
         n = int(fields["content-length"])
         yield fields, data[end + 4 : end + 4 + n]
         at = end + 4 + n + 4
 
 
+def _number(text: str | None) -> int | None:
+    return int(text) if text and text.isdecimal() else None
+
+
 def inflated(data: bytes) -> bytes:
-    """The bytes of a file, of one or many gzip members or none."""
+    """The bytes of a file, of one or many gzip members or none; up to the damage if there is any."""
     out = []
     while data[:2] == b"\x1f\x8b":
         z = zlib.decompressobj(47)
-        out.append(z.decompress(data))
+        try:
+            out.append(z.decompress(data))
+        except zlib.error:
+            break
         data = z.unused_data
     return b"".join(out) if out else data
 
@@ -157,7 +170,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """Every record of the archives: record_id, page_id, record_type, refers_to, payload_bytes, payload_digest, payload (null for revisits) and complete.
 
     A record of which a segment is missing, whose total length, framing or digest is wrong, has complete = false and
-    no payload. An empty folder gives an empty result.
+    no payload. A damaged file gives the records before the damage. An empty folder gives an empty result.
     """
 
     def split(segmented: bool):
@@ -169,7 +182,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         if ("warc-segment-number" in f) == segmented and f["warc-type"] in ("response", "revisit", "continuation"):
                             total = f.get("warc-segment-total-length")
                             origin = f.get("warc-segment-origin-id", f["warc-record-id"]).strip("<>")
-                            rows.append((origin, int(f.get("warc-segment-number", 0)), int(total) if total else None, f["warc-type"], f.get("warc-refers-to", "").strip("<>") or None, f.get("warc-payload-digest"), block))
+                            rows.append((origin, _number(f.get("warc-segment-number")) or 0, _number(total), f["warc-type"], f.get("warc-refers-to", "").strip("<>") or None, f.get("warc-payload-digest"), block))
                         if len(rows) >= 500:
                             yield _batch(rows, _SPLIT)
                             rows = []
@@ -211,8 +224,8 @@ def _record(origin: str, parts: list[dict]) -> tuple:
     head, _, body = block.partition(b"\r\n\r\n")
     fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(b":") for line in head.split(b"\r\n")[1:])}
     if first["kind"] == "revisit":
-        return origin, page_of(origin), "revisit", page_of(first["refers"]), int(fields[b"content-length"]), digest, None, whole
-    payload = (dechunked(body) if fields.get(b"transfer-encoding") == b"chunked" else body[: int(fields.get(b"content-length", len(body)))]) if whole else None
+        return origin, page_of(origin), "revisit", page_of(first["refers"]) if first["refers"] else None, int(n) if (n := fields.get(b"content-length", b"")).isdigit() else None, digest, None, whole and n.isdigit()
+    payload = (dechunked(body) if fields.get(b"transfer-encoding") == b"chunked" else body[: int(n) if (n := fields.get(b"content-length", b"")).isdigit() else len(body)]) if whole else None
     if payload is None or base32_sha1(hashlib.sha1(payload).digest()) != digest:
         return origin, page_of(origin), "response", None, None, digest, None, False
     return origin, page_of(origin), "response", None, len(payload), digest, payload, True
