@@ -13,8 +13,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import written
+
 #: Small groups are bundled so that a shard holds about this many items.
 FINE = 256
+#: Rows of a shard that are numbered together, and parts of a shard at least.
+PART_ROWS = 50_000
+LEAST_PARTS = 64
 
 
 @dataclass
@@ -110,11 +115,11 @@ def _bundle(grp: Column, bundles: int) -> Column:
     return F.pmod(F.xxhash64(grp, F.lit(9)), F.lit(bundles))
 
 
-def shard_plan(rows: DataFrame, shards: int, fine: int = FINE) -> tuple[DataFrame, DataFrame, int]:
-    """The shards of large groups (grp, shard) and of bundles (bundle, shard), both of bounded size, and the number of bundles."""
+def shard_plan(rows: DataFrame, shards: int, fine: int = FINE) -> tuple[DataFrame, DataFrame, int, int]:
+    """The shards of large groups (grp, shard) and of bundles (bundle, shard), both of bounded size, the number of bundles and that of rows."""
     spark, bundles = rows.sparkSession, shards * fine
-    groups = rows.groupBy("grp").agg(F.sum("size").alias("bytes"))
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
+    groups = written(rows.groupBy("grp").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "groups")
+    total, n = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     floor = max(1, total // (shards * fine))
     large = [(r.grp, r.bytes) for r in groups.filter(F.col("bytes") >= floor).collect()]  # at most shards * fine + 1 rows
     small = [(r.bundle, r.bytes) for r in groups.filter(F.col("bytes") < floor).groupBy(_bundle(F.col("grp"), bundles).alias("bundle")).agg(F.sum("bytes").alias("bytes")).collect()]
@@ -122,38 +127,39 @@ def shard_plan(rows: DataFrame, shards: int, fine: int = FINE) -> tuple[DataFram
     at = even_bins(items, shards) if items else {}
     big = spark.createDataFrame([(g, at[i]) for i, (g, _) in enumerate(large)], "grp long, big_shard int")
     rest = spark.createDataFrame([(b, at[len(large) + i]) for i, (b, _) in enumerate(small)], "bundle long, small_shard int")
-    return big, rest, bundles
+    return big, rest, bundles, n
 
 
-def shard(rows: DataFrame, shards: int = 40, salts: int = 64) -> DataFrame:
+def shard(rows: DataFrame, shards: int = 40) -> DataFrame:
     """rows of sized() with shard (0 to shards - 1) and slot (gapless from 0 in each shard).
 
     Rows of equal text share a shard, so a text that holds more than one shard's share makes its shard larger. Null ids
     and repeated rows are placed like others, each with a slot of its own; an empty table gives an empty result. A shard's
-    slots are counted in `salts` parts, so no task needs a whole shard.
+    slots are counted in parts of about PART_ROWS rows, so no task needs a whole shard.
     """
-    big, rest, bundles = shard_plan(rows, shards)
+    big, rest, bundles, n = shard_plan(rows, shards)
+    salts = max(LEAST_PARTS, -(-n // (shards * PART_ROWS)))
     placed = (
         rows.join(F.broadcast(big), "grp", "left")  # bounded by shards * FINE
         .withColumn("bundle", _bundle(F.col("grp"), bundles))
         .join(F.broadcast(rest), "bundle", "left")
-        .select("doc_id", "size", "text_crc32", F.coalesce("big_shard", "small_shard").alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"))
+        .select("doc_id", "size", "text_crc32", F.coalesce("big_shard", "small_shard").alias("shard"), F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(salts)).alias("salt"))
     )
     return with_slots(placed, ["shard"], "salt", [F.col("doc_id"), F.col("text_crc32")], "slot").drop("salt")
 
 
 def with_slots(rows: DataFrame, group: list[str], salt: str, order: list[Column], name: str) -> DataFrame:
-    """Gapless numbers from 0 within each group, counted per salt first; groups * salts rows are broadcast."""
+    """Gapless numbers from 0 within each group, counted per salt first."""
     counts = rows.groupBy(*group, salt).agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy(*group).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1))
     base = counts.select(*group, salt, F.coalesce(before, F.lit(0)).alias("base"))
     in_salt = rows.withColumn("in_salt", F.row_number().over(Window.partitionBy(*group, salt).orderBy(*order)) - 1)
-    return in_salt.join(F.broadcast(base), [*group, salt]).withColumn(name, (F.col("base") + F.col("in_salt")).cast("long")).drop("base", "in_salt")
+    return in_salt.join(base, [*group, salt]).withColumn(name, (F.col("base") + F.col("in_salt")).cast("long")).drop("base", "in_salt")
 
 
 def op9_sharding(spark, sf_dir):
     """Every document in one of 40 shards of near equal bytes; equal texts together."""
-    from .store import table, written
+    from .store import table
 
     rows = written(sized(table(spark, sf_dir, "documents")), "sized")
     return shard(rows).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
