@@ -5,7 +5,7 @@ anchors. Neighbouring windows with one anchor form a stretch. Anchors that occur
 repeated anchors are kept. A shard indexes all distinct stretches of its anchors, weighted by how often each occurs, and
 streams them through the index: what matches twice or more over a window's length is reported. The stretches of an
 anchor that is very common are dealt out window by window, so that no shard holds them all. Texts that are equal count once, with
-a weight. Words stand as 32-bit hashes in the index, and texts as 96 bits of hashes.
+a weight. Words stand as 64-bit hashes of which an index numbers the different ones, and texts as 96 bits of hashes.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .fmindex import FMIndex, repeats
-from .store import written
+from .store import free_names, written
 
 WINDOW = 35
 ANCHOR = 8
@@ -85,7 +85,7 @@ def stretches(rows: DataFrame, window: int) -> DataFrame:
                 for i in range(0, len(a), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in (a, x, y)], names=["anchor", "h1", "h2"])
 
-    return rows.select("text", "h1", "h2").mapInArrow(run, "anchor long, h1 long, h2 int")
+    return rows.select("text", "h1", "h2").mapInArrow(W.settled(run), "anchor long, h1 long, h2 int")
 
 
 def repeated_stretches(rows: DataFrame, weights: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
@@ -102,13 +102,12 @@ def repeated_stretches(rows: DataFrame, weights: DataFrame, wanted: DataFrame, w
             for r, h in _word_hashes(batch.column(0)):
                 want = {x["anchor"]: x["common"] for x in lists[r]}
                 a, first, n = anchors(h, window)
-                short = (h >> np.uint64(32)).astype(np.uint32)
                 for anchor, f, m in zip(a.view(np.int64).tolist(), first.tolist(), n.tolist()):
                     common = want.get(anchor)
                     if common is None:
                         continue
                     for at, windows in ((f, m),) if not common else ((f + i, 1) for i in range(m)):
-                        own = short[at : at + windows + window - 1].tobytes()
+                        own = h[at : at + windows + window - 1].tobytes()
                         content = int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little", signed=True)
                         out.append((content if common else anchor, content, int(weight[r]), int(h1[r]), int(h2[r]), at, own))
                         size += len(own)
@@ -119,7 +118,7 @@ def repeated_stretches(rows: DataFrame, weights: DataFrame, wanted: DataFrame, w
                 yield _batch(out)
 
     texts = rows.join(weights, list(_TEXT_KEY)).join(wanted, list(_TEXT_KEY))
-    return texts.select("text", "h1", "h2", "copies", "anchors").mapInArrow(run, "key long, content long, weight long, h1 long, h2 int, first int, symbols binary")
+    return texts.select("text", "h1", "h2", "copies", "anchors").mapInArrow(W.settled(run), "key long, content long, weight long, h1 long, h2 int, first int, symbols binary")
 
 
 _KINDS = [("key", pa.int64()), ("content", pa.int64()), ("weight", pa.int64()), ("h1", pa.int64()), ("h2", pa.int32()), ("first", pa.int32()), ("symbols", pa.binary())]
@@ -169,43 +168,43 @@ def repeated_parts(contents: DataFrame, shards: int, window: int) -> DataFrame:
                         yield out
                     held, weights, names, size = [], [], [], 0
                 last = key
-                held.append(np.frombuffer(symbols, dtype=np.uint32))
+                held.append(np.frombuffer(symbols, dtype=np.uint64))
                 weights.append(weight)
                 names.append((key, content))
                 size += len(held[-1])
         if held and (out := flush()) is not None:
             yield out
 
-    return contents.select("key", "content", "weight", "symbols").repartition(shards, "key").sortWithinPartitions("key").mapInArrow(run, "key long, content long, parts array<struct<a:int,b:int>>")
+    return contents.select("key", "content", "weight", "symbols").repartition(shards, "key").sortWithinPartitions("key").mapInArrow(W.settled(run), "key long, content long, parts array<struct<a:int,b:int>>")
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON) -> DataFrame:
     """h1, h2 (hashes of a text) and spans: the word ranges [a, b) that windows occurring elsewhere too cover."""
     spark = docs.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 12)
     rows = _rows_of(docs, id_col, text_col)
     seen = written(stretches(rows, window).groupBy("anchor", *_TEXT_KEY).agg(F.count("*").alias("n")), "anchors")
     stats = seen.groupBy("anchor").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).filter("n > 1")
-    wanted = seen.select("anchor", *_TEXT_KEY).join(stats, "anchor").groupBy(*_TEXT_KEY).agg(F.collect_list(F.struct("anchor", (F.col("texts") > COMMON).alias("common"))).alias("anchors"))
+    wanted = seen.select("anchor", *_TEXT_KEY).join(stats, "anchor").groupBy(*_TEXT_KEY).agg(F.collect_list(F.struct("anchor", (F.col("texts") > common).alias("common"))).alias("anchors"))
     weights = rows.select(*_TEXT_KEY).groupBy(*_TEXT_KEY).agg(F.count("*").alias("copies"))
     # one row per text: the limit of rank 1 works before the shuffle too, so large groups of copies don't move
     one = rows.select("text", *_TEXT_KEY).withColumn("r", F.row_number().over(Window.partitionBy(*_TEXT_KEY).orderBy(F.lit(1)))).filter("r = 1").drop("r")
     found = written(repeated_stretches(one, weights, wanted, window), "stretches")
     contents = found.groupBy("key", "content").agg(F.sum("weight").alias("weight"), F.first("symbols").alias("symbols"))
     symbols = found.agg(F.sum(F.length("symbols"))).first()[0] or 0
-    parts = repeated_parts(contents, max(n, int(symbols // 4 // SHARD)), window)
+    parts = repeated_parts(contents, max(n, int(symbols // 8 // SHARD)), window)
     where = found.select("key", "content", *_TEXT_KEY, "first").join(parts, ["key", "content"])
     spans = where.select(*_TEXT_KEY, F.explode(F.transform("parts", lambda p: F.struct((p.a + F.col("first")).alias("a"), (p.b + F.col("first")).alias("b")))).alias("span"))
     return spans.groupBy(*_TEXT_KEY).agg(F.collect_set("span").alias("spans"))
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, common: int = COMMON) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the words that stay, joined by a space; only with_text) of every row.
 
     Null and empty texts have no words; texts shorter than a window keep all. A text that occurs twice repeats itself, so all its
     windows go from both. Rows that repeat an id are rows of their own.
     """
-    rows, spans = _rows_of(docs, id_col, text_col), repeated_spans(docs, window, id_col, text_col)
+    rows, spans = _rows_of(docs, id_col, text_col), repeated_spans(docs, window, id_col, text_col, common)
 
     def run(batches):
         for batch in batches:
@@ -224,22 +223,26 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     joined = rows.join(spans, list(_TEXT_KEY), "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans")
-    made = joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    made = joined.mapInArrow(W.settled(run), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return made if with_text else made.drop("kept")
 
 
 def cleaned(docs: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, with texts that hold no repeated window any more; texts that lose nothing stay as they are."""
-    spans = repeated_spans(docs, window, docs.columns[0], text_col).withColumnsRenamed({"h1": "__h1", "h2": "__h2", "spans": "__spans"})
+    """The rows of docs, all columns, with texts that hold no repeated window any more; texts that lose nothing, nulls among them, stay as they are.
+
+    Repeated rows are rows of their own; an empty table gives an empty result. Columns may have any names.
+    """
+    h1, h2, spans_ = free_names(docs, "h1", "h2", "spans")
+    spans = repeated_spans(docs, window, docs.columns[0], text_col).withColumnsRenamed({"h1": h1, "h2": h2, "spans": spans_})
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    joined = docs.withColumns({"__h1": F.xxhash64(text), "__h2": F.hash(text)}).join(spans, ["__h1", "__h2"], "left").select(*(f"`{c}`" for c in docs.columns), "__spans")
+    joined = docs.join(spans, (F.xxhash64(text) == F.col(h1)) & (F.hash(text) == F.col(h2)), "left").select(*(f"`{c}`" for c in docs.columns), spans_)
     place = docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
             out = []
             for text, parts in zip(batch.column(place).to_pylist(), batch.column(len(docs_names)).to_pylist()):
-                if parts:
+                if parts and text is not None:
                     words = text.encode().split()
                     gone = np.zeros(len(words) + 1, dtype=np.int64)
                     for p in parts:
@@ -252,7 +255,7 @@ def cleaned(docs: DataFrame, window: int = WINDOW, text_col: str = "text") -> Da
             yield pa.RecordBatch.from_arrays(columns, names=docs_names)
 
     docs_names = docs.columns
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(W.settled(run), docs.schema)
 
 
 def op10_substring(spark, sf_dir):
