@@ -213,6 +213,24 @@ def test_ranges_and_sweep():
     assert packing.cut(2500, 1024) == [(0, 452), (452, 1024), (1476, 1024)]
 
 
+def test_coders_agree(tmp_path):
+    import base64
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, ranks = (public_tokenizers.path(f"byte_bpe_50k.{x}") for x in ("json", "tiktoken"))
+    whole, end = Tokenizer.from_file(path), "<|endoftext|>"
+    texts = [t or "" for t in TEXTS] + [f"a {end} b", f"{end}{end}x  {end}", f"a{end}  b\n", "<|endoftext|", "don't 12345  \n\n\tx  ", "naïve 東京 🙂\u200d\u00a0 ß", "\x00\r\n", " \u3000 x", "I'LL we'll 'S"]
+    rng = np.random.default_rng(1)
+    texts += ["".join(map(chr, rng.choice([*range(32, 127), 10, 9, 0xA0, 0xE9, 0x2028, 0x3042, 0x1F600], 60))) for _ in range(300)]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [list(x) for x in packing.coder(path)(texts)] == want == [list(x) for x in packing.coder(path, ranks)(texts)]
+    (tmp_path / "other").write_bytes(base64.b64encode(b"a") + b" 0\n")
+    with pytest.raises(ValueError):
+        packing.coder(path, str(tmp_path / "other"))
+
+
 def test_op3(spark, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
