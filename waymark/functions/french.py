@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -74,6 +75,8 @@ PHONEMES = (
     (r"(?<=[aeiouy])n[dt](?=[^aeiouyr])", "n"),
     (r"([a-z])\1+", "$1"),
 )
+# Words between a street type and the name after it.
+LINKS = ("de", "du", "des", "d", "la", "le", "les", "l", "en")
 # The keys around each key of an AZERTY keyboard.
 KEYS = {
     "a": "ezqop", "z": "aqse", "e": "azsdryu", "r": "edft", "t": "rfgy", "y": "teghu", "u": "yehji", "i": "ujko", "o": "iaklp", "p": "oalm", "q": "azsw", "s": "qzedxw", "d": "serfcx",
@@ -81,6 +84,7 @@ KEYS = {
 }
 
 _TYPES = "|".join(STREET_TYPES)
+# An address within a query, and a house number written together with its ordinal.
 _ADDRESS = rf"(?iu)(\b\d{{1,4}}( *({ORDINAL}))?,? +({_TYPES}) .*(\d{{5}})?).*"
 _GLUED = rf"(?i)^(\d{{1,4}})({ORDINAL})$"
 
@@ -155,7 +159,7 @@ def _numbered(glued: Column) -> Column:
 
 def _tokens(text: Column, synonyms: dict[str, str]) -> Column:
     words = F.transform(F.regexp_extract_all(text, F.lit(r"([\p{IsAlphabetic}\p{N}_]+)"), F.lit(1)), T.transliterated)
-    table = F.create_map(*(F.lit(x) for pair in synonyms.items() for x in pair)) if synonyms else None
+    table = F.from_json(F.lit(json.dumps(synonyms)), "map<string,string>") if synonyms else None  # a constant
     meant = lambda v: F.coalesce(F.try_element_at(table, v), v) if table is not None else v
 
     def spoken(x: Column) -> Column:
@@ -171,11 +175,16 @@ def index_tokens(text: Column, synonyms: dict[str, str] | None = None) -> Column
 
 
 def query_tokens(query: Column, synonyms: dict[str, str] | None = None) -> Column:
-    """(value, housenumber, at, part) of a query's words; null for a query of over 200 characters."""
+    """(value, housenumber, at, part) of a query's words; null for a query of over 200 characters, counted as it is given."""
     cleaned = T.without_leading_zeros(clean_query(extract_address(F.coalesce(query, F.lit("")))))
     return F.when(F.coalesce(F.char_length(query), F.lit(0)) <= MAX_QUERY, _tokens(cleaned, synonyms or {}))
 
 
+def search_tokens(query: Column, synonyms: dict[str, str] | None = None) -> Column:
+    """query_tokens of the folded query, as search sees it: punctuation is gone, and the limit counts folded characters."""
+    return query_tokens(T.fold(F.coalesce(query, F.lit(""))), synonyms)
+
+
 def housenumber_token(number: Column, synonyms: dict[str, str] | None = None) -> Column:
     return F.array_join(index_tokens(number, synonyms), "")
 
@@ -195,6 +204,54 @@ def misspellings(word: Column) -> Column:
     return F.array_distinct(F.concat(swapped, beside, added, dropped))
 
 
+def words(text: Column) -> Column:
+    """The folded words of a commune's name or of a query; saint and sainte as they are shortened."""
+    return F.transform(T.tokens(text), lambda w: F.when(w == "saint", "st").when(w == "sainte", "ste").otherwise(w))
+
+
+def is_postcode(word: Column) -> Column:
+    return word.rlike("^[0-9]{5}$")
+
+
+def departement(postcode: Column) -> Column:
+    """A postcode's first two digits, three overseas."""
+    return F.left(postcode, F.when(F.startswith(postcode, F.lit("97")), 3).otherwise(2))
+
+
+def spaced(text: Column) -> Column:
+    """The words of a text as they are written, parted by blanks."""
+    return F.filter(F.split(text, r"[\s\x1c-\x1f\x85\u00a0]+"), lambda w: w != "")
+
+
+def postcodes(query: Column) -> Column:
+    return F.filter(spaced(query), is_postcode)
+
+
+def without_postcode(query: Column) -> Column:
+    """The query without its words of five digits; null if it has none, or nothing else."""
+    every = spaced(query)
+    kept = F.filter(every, lambda w: ~is_postcode(w))
+    return F.when((F.size(kept) > 0) & (F.size(kept) < F.size(every)), F.array_join(kept, " "))
+
+
+def after_street_type(before: Column) -> Column:
+    """Whether the words of an array end with a street type, then any articles and prepositions."""
+    others = F.filter(F.transform(before, lambda w, i: F.when(~w.isin(*LINKS), i)), lambda i: i.isNotNull())
+    return F.coalesce(is_street_type(F.get(before, F.array_max(others))), F.lit(False))
+
+
+def names(query: Column, name: Column) -> Column:
+    """Whether a query's words hold a commune's: as neighbours, and not as a street's name, unless at the end or before a postcode."""
+    n, m = F.size(query), F.size(name)
+    places = F.when((m > 0) & (n >= m), F.sequence(F.lit(0), F.greatest(n - m, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+
+    def here(i: Column) -> Column:
+        ends = (i + m == n) | F.coalesce(is_postcode(F.get(query, i + m)), F.lit(False))
+        return (F.slice(query, i + 1, m) == name) & (ends | ~after_street_type(F.slice(query, F.lit(1), i)))
+
+    return F.exists(places, here)
+
+
 def labels(names: Column, postcode: Column, cities: Column, number: Column, kind: Column) -> Column:
     """What a document may be called, the fullest first; each with the house number before it where there is one."""
     none = F.array().cast("array<string>")
@@ -212,10 +269,15 @@ def labels(names: Column, postcode: Column, cities: Column, number: Column, kind
 
 
 def best_similarity(scores: Column, enough: float = 0.9) -> Column:
-    """The first score that is enough, or else the largest: labels after a good one are not looked at."""
+    """The first score that is enough, or else the largest."""
     return F.coalesce(F.get(F.filter(scores, lambda s: s >= enough), F.lit(0)), F.array_max(scores))
 
 
+def best_of(labels_: Column, score, enough: float = 0.9) -> Column:
+    """best_similarity of each label's score; labels after a good one are not looked at."""
+    return F.aggregate(labels_, F.lit(0.0), lambda best, x: F.when(best >= enough, best).otherwise(F.greatest(best, score(x))))
+
+
 def autocomplete_similarity(label: Column, query: Column) -> Column:
     """1 for the query itself, 0.9 where it begins the label, 0.7 where it is within, otherwise nine tenths of the bigrams' similarity; both folded."""
     return F.when(label == query, 1.0).when(F.startswith(label, query), 0.9).when(F.contains(label, query), 0.7).otherwise(T.similarity(label, query) * 0.9)
