@@ -1,39 +1,115 @@
-"""From positions to documents."""
+"""From positions to documents: the cells around a position, or the nearest within a radius. A document stands where its closest house number does, or itself."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .index import Index
+from .search import asked_values, housenumber_checks
 
+#: Metres within which nearest() looks unless told, and the most it takes.
+RADIUS, MOST_RADIUS = 5_000.0, 10_000.0
 
-def reverse(positions: DataFrame, documents: DataFrame, cells: DataFrame, limit: int = 1) -> DataFrame:
-    """qid, rank, doc, distance_m of documents in the nine cells around (qid, lat, lon), or, where those hold none, in the next ring."""
-    at = documents.select("doc", F.col("lat").alias("d_lat"), F.col("lon").alias("d_lon"))
+
+def nearest_radius(nearest: bool, radius: float | None = None) -> float | None:
+    """The radius of a request: none unless nearest is asked for."""
+    if not nearest:
+        if radius is not None:
+            raise ValueError('"radius" goes with "nearest"')
+        return None
+    if radius is not None and not 0 < radius <= MOST_RADIUS:
+        raise ValueError(f'invalid "radius": {radius}, metres from 0 to {MOST_RADIUS}')
+    return RADIUS if radius is None else radius
+
+
+def _asked(positions: DataFrame) -> DataFrame:
+    """qid, lat, lon, the filters' values and what they say of house numbers."""
+    have = lambda name: F.col(name).cast("array<string>") if name in positions.columns else F.lit(None).cast("array<string>")
+    check, only = housenumber_checks(have("types"))
+    spot = positions.select("qid", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), *(asked_values(have(c)).alias(c) for c in ("types", "citycodes", "postcodes")), check.alias("check"), only.alias("only"))
+    return spot.filter((F.col("lat") >= -90) & (F.col("lat") < 90) & (F.abs("lon") < float("inf")))
+
+
+def _held(rows: DataFrame, index: Index) -> DataFrame:
+    """Of (qid, filters, doc) those whose documents the filters hold."""
+    docs = index.documents.select("doc", F.col("types").alias("h_types"), F.col("citycode").alias("h_citycode"), F.col("postcode").alias("h_postcode"))
+    met = rows.join(docs, "doc")
+    for own, asked in (("h_types", "types"), ("h_citycode", "citycodes"), ("h_postcode", "postcodes")):
+        met = met.filter((F.size(asked) == 0) | F.arrays_overlap(own, asked))
+    return met.drop("h_types", "h_citycode", "h_postcode")
+
+
+def _closest(rows: DataFrame, index: Index) -> DataFrame:
+    """(qid, doc, km, housenumber) of (qid, lat, lon, check, only, doc): a document's closest house number or itself; of equals the first number by its token, the document last."""
+    km = lambda a, b: geo.haversine_km(F.col("lat"), F.col("lon"), F.col(a), F.col(b))
+    number = F.struct("number", "id", "ban_id", F.col("n_x").alias("x"), F.col("n_y").alias("y"), F.col("n_lat").alias("lat"), F.col("n_lon").alias("lon"))
+    numbers = index.housenumbers.withColumnsRenamed({"lat": "n_lat", "lon": "n_lon", "x": "n_x", "y": "n_y"}).drop("cell")
+    at = rows.filter("check").join(numbers, "doc").select("qid", "doc", km("n_lat", "n_lon").alias("km"), F.lit(0).alias("own"), "token", number.alias("housenumber"))
+    own = rows.filter("not only").join(index.documents.select("doc", F.col("lat").alias("d_lat"), F.col("lon").alias("d_lon")), "doc").select("qid", "doc", km("d_lat", "d_lon").alias("km"), F.lit(1).alias("own"), F.lit("").alias("token"), F.lit(None).cast(at.schema["housenumber"].dataType).alias("housenumber"))
+    best = at.unionByName(own).filter("km is not null").groupBy("qid", "doc").agg(F.min_by(F.struct("km", "housenumber"), F.struct("km", "own", "token")).alias("b"))
+    return best.select("qid", "doc", "b.km", "b.housenumber")
+
+
+def _ranked(found: DataFrame, limit: int | Column) -> DataFrame:
+    """qid, rank, doc, housenumber, distance_m, score: by falling score, then rising doc."""
+    scored = found.withColumn("score", geo.km_to_score(F.col("km")) * 0.1 / 0.1)
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc"))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= limit).select("qid", "rank", "doc", "housenumber", (F.col("km") * 1000).alias("distance_m"), "score")
+
+
+def reverse(positions: DataFrame, index: Index, limit: int | Column = 1) -> DataFrame:
+    """The documents in the nine cells around each position (qid, lat, lon, and types, citycodes, postcodes where there are such columns), or, where those hold none, in the ring around them.
+
+    Latitudes outside [-90, 90), numbers that aren't finite and nulls find nothing; an empty table gives an empty result.
+    """
+    asked = _asked(positions)
 
     def within(rows: DataFrame, *rings: int) -> DataFrame:
-        near = F.flatten(F.array(*(geo.ring(F.col("lat"), F.col("lon"), k) for k in rings)))
-        return rows.withColumn("cell", F.explode(near)).join(cells, "cell").select("qid", "lat", "lon", "doc").distinct()
+        near = rows.withColumn("cell", F.explode(geo.ring(F.col("lat"), F.col("lon"), *rings))).join(index.cells, "cell").drop("cell")
+        return _held(near.dropDuplicates(["qid", "doc"]), index)
 
-    first = within(positions, 0, 1)
-    second = within(positions.join(first, "qid", "left_anti"), 2)
-    rows = first.union(second).join(at, "doc").withColumn("km", geo.haversine_km(F.col("lat"), F.col("lon"), F.col("d_lat"), F.col("d_lon")))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("km", "doc"))
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= limit).select("qid", "rank", "doc", F.round(F.col("km") * 1000, 3).alias("distance_m"))
+    first = within(asked, 0, 1)
+    second = within(asked.join(first.select("qid").distinct(), "qid", "left_anti"), 2)
+    return _ranked(_closest(first.unionByName(second), index), limit)
 
 
-def nearest(positions: DataFrame, documents: DataFrame, radius_m: float = 5000.0, limit: int = 1) -> DataFrame:
-    """qid, rank, doc, distance_m of the nearest documents within a radius: squares as wide as the radius meet their neighbours."""
+def nearest(positions: DataFrame, index: Index, radius_m: float = RADIUS, limit: int | Column = 1) -> DataFrame:
+    """The nearest documents within a radius. Rows of latitude as high as the radius are cut into columns at least as wide, so neighbours suffice; columns go round the earth."""
     side = math.degrees(radius_m / 1000 / geo.EARTH_KM) * 1.0001
-    row = lambda lat: F.floor(F.col(lat) / side)
-    # squares of longitude widen towards the poles: as many degrees as the radius spans at the row's far edge
-    span = F.lit(side) / F.greatest(F.cos(F.radians(F.least((F.abs(F.col("row")) + 2) * side, F.lit(89.0)))), F.lit(0.01))
-    docs = documents.select("doc", F.col("lat").alias("d_lat"), F.col("lon").alias("d_lon")).withColumn("row", row("d_lat")).withColumn("column", F.floor(F.col("d_lon") / span))
-    asked = positions.withColumn("row", F.explode(F.transform(F.array(*(F.lit(i) for i in (-1, 0, 1))), lambda i: row("lat") + i)))
-    asked = asked.withColumn("column", F.explode(F.transform(F.array(*(F.lit(i) for i in (-1, 0, 1))), lambda i: F.floor(F.col("lon") / span) + i)))
-    rows = asked.join(docs, ["row", "column"]).withColumn("km", geo.haversine_km(F.col("lat"), F.col("lon"), F.col("d_lat"), F.col("d_lon"))).filter(F.col("km") * 1000 <= radius_m)
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("km", "doc"))
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= limit).select("qid", "rank", "doc", F.round(F.col("km") * 1000, 3).alias("distance_m"))
+    row = lambda lat: F.floor((lat + 90) / side).cast("long")
+    edge = F.greatest(F.abs(F.col("row") * side - 90), F.abs((F.col("row") + 1) * side - 90))
+    columns = F.greatest(F.lit(1), F.floor(360 * F.greatest(F.cos(F.radians(F.least(edge, F.lit(90.0)))), F.lit(0.0)) / side)).cast("long")
+    column = lambda lon: F.floor((F.pmod(lon + 180, F.lit(360.0))) / 360 * F.col("columns")).cast("long")
+    named = index.documents.filter(F.size("name") > 0).select("doc", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
+    points = named.unionByName(index.housenumbers.select("doc", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))).filter("p_lat is not null and p_lon is not null")
+    points = points.withColumn("row", row(F.col("p_lat"))).withColumn("columns", columns).withColumn("column", column(F.col("p_lon"))).select("row", "column", "doc").distinct()
+    steps = F.array(*(F.lit(i) for i in (-1, 0, 1)))
+    asked = _asked(positions).withColumn("row", F.explode(F.transform(steps, lambda i: row(F.col("lat")) + i))).withColumn("columns", columns)
+    asked = asked.withColumn("column", F.explode(F.array_distinct(F.transform(steps, lambda i: F.pmod(column(F.col("lon")) + i, F.col("columns"))))))
+    near = asked.join(points, ["row", "column"]).drop("row", "column", "columns").dropDuplicates(["qid", "doc"])
+    return _ranked(_closest(_held(near, index), index).filter(F.col("km") * 1000 <= radius_m), limit)
+
+
+def labels(name: Column, postcode: Column, city: Column, number: Column) -> Column:
+    """What a place found from its position is called: its names, the first with postcode and city where the city is another name, and its number before it. Arrays of texts."""
+    first = lambda c: F.coalesce(F.get(c, F.lit(0)), F.lit(""))
+    town = (first(city) != "") & (first(city) != first(name))
+    whole = F.when(town, F.concat_ws(" ", first(name), F.nullif(first(postcode), F.lit("")), first(city))).otherwise(first(name))
+    given = F.nullif(number, F.lit(""))
+    full = F.when(given.isNull(), whole).otherwise(F.concat_ws(" ", given, whole))
+    return F.concat(F.array(full), F.slice(name, F.lit(2), F.greatest(F.size(name), F.lit(1))))
+
+
+def presented(found: DataFrame, index: Index) -> DataFrame:
+    """Results as they are shown, like those of a search."""
+    whole = found.join(index.documents.drop("words", "near", "types", "folded", "folded_street", "grams", "grams_street", "label").withColumnRenamed("importance", "doc_importance"), "doc").withColumnRenamed("housenumber", "hn")
+    own = lambda c: F.when(F.col("hn").isNotNull(), F.col(f"hn.{c}")).otherwise(F.col(c)).alias(c)
+    called = labels(F.col("name"), F.col("postcode"), F.col("city"), F.col("hn.number"))
+    return whole.select(
+        "qid", "rank", "doc", own("id"), own("ban_id"), F.when(F.col("hn").isNotNull(), "housenumber").otherwise(F.col("kind")).alias("kind"), F.col("kind").alias("doc_kind"), F.col("hn.number").alias("housenumber"), F.get(called, F.lit(0)).alias("label"), called.alias("labels"),
+        "score", "distance_m", own("lat"), own("lon"), own("x"), own("y"), "name", "postcode", "city", "context", "citycode", "oldcitycode", "oldcity", "district", "doc_importance", "population",
+    )
