@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.functions import french
+from waymark.functions import french, synonyms
 
+# What texts must become.
 SYNONYMS = french.read_synonyms(["# numbers", "1 => un", "2 => deux", "3 => trois", "5 => cinq", "12 => douze", "13 => treize", "14 => quatorze", "st, saint => saint", "17e, xviie => dix septieme"])
 
 
@@ -108,3 +109,32 @@ def test_compensated_sum(spark):
     from waymark.functions import geo
 
     assert [one(spark, geo.compensated_sum(*map(F.lit, x))) for x in ((0.1, 1.0, 0.1), (0.1, 1.0), (0.0,))] == [1.2, 1.1, 0.0]
+
+
+def test_synonym_table():
+    table = synonyms.table()
+    assert table["17e"] == table["xviieme"] == "dix septieme" and table["19e"] == "dix neuvieme" and table["5e"] == "cinquieme" and table["iv"] == table["4"] == "quatre" and table["1re"] == "premiere" and table["100"] == "cent"
+    assert table["bd"] == "boulevard" and table["cr"] == "cour" and table["st"] == "saint" and "paris" not in table and "21" not in table
+    assert [synonyms.roman(n) for n in (1, 4, 9, 14, 19, 20)] == ["i", "iv", "ix", "xiv", "xix", "xx"]
+
+
+def test_search_sees_folded_queries(spark):
+    """Punctuation is gone when search takes a query apart, and the limit counts folded characters; documents' texts keep theirs."""
+    values = lambda c: one(spark, F.transform(c, lambda t: t["value"]))
+    assert values(french.search_tokens(F.lit("½ chemin"), SYNONYMS)) == ["deu", "chemin"] and one(spark, french.index_tokens(F.lit("½ chemin"), SYNONYMS)) == ["1/2", "chemin"]
+    assert values(french.search_tokens(F.lit("s/ mer"), SYNONYMS)) == ["s", "mer"] and values(french.query_tokens(F.lit("route s/ mer"), SYNONYMS)) == ["rout", "sur", "mer"]
+    assert values(french.search_tokens(F.lit("n°5"), SYNONYMS)) == ["ndeg5"]
+    assert one(spark, french.search_tokens(F.lit("x, " * 101))) is None and one(spark, french.search_tokens(F.lit("x" + "," * 300))) is not None
+    assert one(spark, french.housenumber_token(F.lit("13"), SYNONYMS)) == "trez" and one(spark, french.housenumber_token(F.lit("1bis"), SYNONYMS)) == "1b" and one(spark, french.housenumber_token(F.lit(None).cast("string"))) == ""
+
+
+def test_communes(spark):
+    words = lambda t: F.array(*map(F.lit, t.split())).cast("array<string>")
+    cases = [("rue de paris toulouse", "paris", False), ("rue de paris toulouse", "toulouse", True), ("grande rue paris 75001", "paris", True), ("av de l paris x", "paris", False), ("paris", "paris", True), ("st denis 93", "st denis", True), ("a b", "a b c", False)]
+    for query, name, want in cases:
+        assert one(spark, french.names(words(query), words(name))) is want, (query, name)
+    assert one(spark, french.names(words("a"), F.array().cast("array<string>"))) is False
+    assert one(spark, french.words(F.lit("Saint-Denis, Sainte Ève"))) == ["st", "denis", "ste", "eve"]
+    got = [one(spark, french.without_postcode(F.lit(q))) for q in (" 4 rue  x 75001 paris", "75001", "rue x", "1234 75001a")]
+    assert got == ["4 rue x paris", None, None, None]
+    assert [one(spark, french.departement(F.lit(p))) for p in ("75001", "97400", "2")] == ["75", "974", "2"]

@@ -1,60 +1,155 @@
-"""The driver's queries of the search engine over a gazetteer made of the part table, and their SQL."""
+"""The driver's queries of the search engine over a gazetteer made of the part table, each through its operator and the stored index."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import french, geo, text
-from ..operators import batch, index, reverse, search
+from ..functions import synonyms as S
+from ..operators import batch, index, postings, reverse, search
 from ..sources import gazetteer, geojson
+from .sql import oracle_sql
+
+__all__ = ["oracle_sql", "queries"]
+
+_opened: dict[tuple[str, str], index.Index] = {}
 
 
 def _read(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _docs(spark, sf_dir: str) -> DataFrame:
-    return gazetteer.of_parts(_read(spark, sf_dir, "part"))
+def _index(spark, sf_dir: str) -> index.Index:
+    """The stored index of the parts, built once per application and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _opened:
+        _opened[key] = index.build(gazetteer.of_parts(_read(spark, sf_dir, "part")))
+    return _opened[key]
 
 
 def _asked(spark, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "part").filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("qid"), F.concat_ws(" ", "p_name", "p_brand").alias("query"))
 
 
+def _number() -> Column:
+    """A house number that the part has; null if it has none."""
+    n = F.col("p_size") % 7
+    return F.when(n > 0, (1 + F.col("p_partkey") % F.greatest(n, F.lit(1))).cast("string"))
+
+
 def _positions(spark, sf_dir: str) -> DataFrame:
     key = F.col("event_id")
     return _read(spark, sf_dir, "events").select(key.alias("qid"), (42.0 + key * 37 % 900 / 100).alias("lat"), (-1.0 + key * 53 % 700 / 100 + 0.001).alias("lon"))
 
 
-def _search(spark, sf_dir: str, wanted: dict | None = None) -> DataFrame:
-    docs, asked = _docs(spark, sf_dir), _asked(spark, sf_dir)
-    posted = index.postings(docs)
-    ok = search.allowed(index.filters(docs), wanted) if wanted else None
-    found = search.intersect(search.keys(asked), posted, index.token_stats(posted), allowed=ok)
-    return search.scored(asked, found, docs).select("qid", "rank", "doc", "label", F.round("score", 9).alias("score"))
+def _found(spark, sf_dir: str, asked: DataFrame) -> DataFrame:
+    return search.search(asked, _index(spark, sf_dir)).select("qid", "rank", "doc", "label", F.round("score", 9).alias("score"))
+
+
+def _filtered(spark, sf_dir: str) -> DataFrame:
+    """Each query among documents of its part's own type and postcode."""
+    part = _read(spark, sf_dir, "part").filter("p_partkey % 50 = 0")
+    kind = F.when(F.col("p_size") % 10 == 0, "municipality").otherwise("street")
+    asked = part.select(F.col("p_partkey").alias("qid"), F.concat_ws(" ", "p_name", "p_brand").alias("query"), F.array(kind).alias("types"), F.array(F.lit(" "), F.lpad((F.col("p_size") * 1000).cast("string"), 5, "0")).alias("postcodes"))
+    return _found(spark, sf_dir, asked)
+
+
+def _around(spark, sf_dir: str) -> DataFrame:
+    """Each query around a position beside its part's."""
+    key = F.col("p_partkey")
+    part = _read(spark, sf_dir, "part").filter("p_partkey % 50 = 0")
+    asked = part.select(key.alias("qid"), F.concat_ws(" ", "p_name", "p_brand").alias("query"), (42.0 + key * 37 % 900 / 100 + 0.2).alias("lat"), (-1.0 + key * 53 % 700 / 100).alias("lon"))
+    return search.search(asked, _index(spark, sf_dir)).select("qid", "rank", "doc", F.round("score", 9).alias("score"), F.round("distance_m", 3).alias("distance_m"))
+
+
+def _numbers(spark, sf_dir: str) -> DataFrame:
+    """Queries with a house number before the name, which some of the documents have."""
+    part = _read(spark, sf_dir, "part").filter("p_partkey % 50 = 0").filter(_number().isNotNull())
+    asked = part.select(F.col("p_partkey").alias("qid"), F.concat_ws(" ", _number(), "p_name", "p_brand").alias("query"))
+    return search.search(asked, _index(spark, sf_dir)).select("qid", "rank", "doc", "id", "kind", "housenumber", "label", F.round("score", 9).alias("score"))
+
+
+def _vocabulary(spark, sf_dir: str) -> DataFrame:
+    """word: those of the parts' names and types."""
+    return _read(spark, sf_dir, "part").select(F.explode(F.split(F.concat_ws(" ", "p_name", F.lower("p_type")), " ")).alias("word")).distinct()
+
+
+def _fuzzy(spark, sf_dir: str) -> DataFrame:
+    """Each word with a letter too many."""
+    return _found(spark, sf_dir, _vocabulary(spark, sf_dir).select(F.col("word").alias("qid"), F.concat("word", F.lit("q")).alias("query")))
+
+
+def _completed(spark, sf_dir: str) -> DataFrame:
+    """The first three letters of each word, unless they are a word or sound shorter."""
+    begun = _vocabulary(spark, sf_dir).select(F.left("word", F.lit(3)).alias("qid")).distinct()
+    spoken = begun.withColumn("token", F.array_join(french.index_tokens(F.col("qid"), S.table()), " ")).filter(F.char_length("token") >= 3)
+    asked = spoken.join(_index(spark, sf_dir).tokens, "token", "left_anti").select("qid", F.col("qid").alias("query"), F.lit(True).alias("autocomplete"))
+    return _found(spark, sf_dir, asked)
+
+
+def _relaxed(spark, sf_dir: str) -> DataFrame:
+    """Two words that no name has both of."""
+    words = _read(spark, sf_dir, "part").select(F.element_at(F.split("p_name", " "), -1).alias("b")).distinct()
+    pairs = words.join(words.withColumnRenamed("b", "c"), F.col("b") < F.col("c"))  # some ten words
+    return _found(spark, sf_dir, pairs.select(F.concat_ws(" ", "b", "c").alias("qid"), F.concat_ws(" ", "b", "c").alias("query")))
 
 
 def _geocoded(spark, sf_dir: str) -> DataFrame:
-    """Every part as a row of a table whose columns p_name and p_brand are the query."""
-    table = _read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
-    return batch.geocode_table(table, _docs(spark, sf_dir), ["p_name", "p_brand"], min_score=0.3).select("p_partkey", "result_id", "result_label", "result_score", "result_score_next", "result_type", "result_postcode")
+    """Every part as a row of a table whose columns are a house number, the name and the brand."""
+    table = _read(spark, sf_dir, "part").select("p_partkey", _number().alias("number"), "p_name", "p_brand")
+    made = batch.geocode_table(table, _index(spark, sf_dir), ["number", "p_name", "p_brand"], min_score=0.3)
+    return made.select("p_partkey", "result_id", "result_label", "result_score", "result_score_next", "result_type", "result_postcode", "result_housenumber", F.round("latitude", 9).alias("latitude"), F.round("longitude", 9).alias("longitude"))
+
+
+def _plain(spark, sf_dir: str) -> DataFrame:
+    """House numbers with a suffix that no document has."""
+    table = _read(spark, sf_dir, "part").filter("p_partkey % 10 = 0").filter(_number().isNotNull()).select("p_partkey", F.concat(_number(), F.lit("b")).alias("number"), "p_name", "p_brand")
+    made = batch.geocode_table(table, _index(spark, sf_dir), ["number", "p_name", "p_brand"], plain_number=True, result_columns=["result_num"])
+    return made.select("p_partkey", "result_id", "result_label", "result_type", "result_housenumber", "result_num", "result_score")
+
+
+def _fallback(spark, sf_dir: str) -> DataFrame:
+    """House numbers with another part's postcode."""
+    table = _read(spark, sf_dir, "part").filter("p_partkey % 10 = 0").filter(_number().isNotNull())
+    wrong = F.lpad(((F.col("p_size") + 7) % 50 * 1000 + 1000).cast("string"), 5, "0")
+    rows = table.select("p_partkey", F.concat_ws(" ", _number(), "p_name", wrong, "p_brand").alias("address"))
+    return batch.geocode_table(rows, _index(spark, sf_dir), ["address"], postcode_fallback=True).select("p_partkey", "result_id", "result_score")
 
 
 def _reversed(spark, sf_dir: str) -> DataFrame:
     spots = _positions(spark, sf_dir).select("qid", F.col("lat").cast("string").alias("lat"), "lon")
-    return batch.reverse_table(spots, _docs(spark, sf_dir)).select("qid", "result_id", "result_label", "result_distance")
+    return batch.reverse_table(spots, _index(spark, sf_dir)).select("qid", "result_id", "result_label", "result_housenumber", "result_type", "result_distance")
+
+
+def _spots(spark, sf_dir: str, **radius) -> DataFrame:
+    found = reverse.nearest(_positions(spark, sf_dir), _index(spark, sf_dir), **radius) if radius else reverse.reverse(_positions(spark, sf_dir), _index(spark, sf_dir))
+    return found.select("qid", "doc", F.col("housenumber.number").alias("housenumber"), F.round("distance_m", 3).alias("distance_m"))
 
 
 def _features(spark, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    made = geojson.features(_search(spark, sf_dir), docs).select("qid", "rank", "feature.*")
-    return made.select("qid", "rank", "type", F.col("geometry.type").alias("geometry"), F.round(F.element_at("geometry.coordinates", 1), 9).alias("lon"), F.round(F.element_at("geometry.coordinates", 2), 9).alias("lat"), "properties.id", "properties.label")
+    made = geojson.features(search.search(_asked(spark, sf_dir), _index(spark, sf_dir))).select("qid", "rank", "feature.*")
+    return made.select("qid", "rank", "type", F.col("geometry.type").alias("geometry"), F.round(F.element_at("geometry.coordinates", 1), 9).alias("lon"), F.round(F.element_at("geometry.coordinates", 2), 9).alias("lat"), "properties.id", "properties.label", "properties.street", "properties.municipality", "properties.postcode")
 
 
-def _topk(spark, sf_dir: str) -> DataFrame:
-    posted = index.postings(_docs(spark, sf_dir))
-    return search.intersect(search.keys(_asked(spark, sf_dir)), posted, index.token_stats(posted), 10).select("qid", "doc", "rank", F.round("sum", 9).alias("sum"))
+def _words_of(spark, sf_dir: str) -> DataFrame:
+    """The asked queries as candidates of all their words."""
+    ix = _index(spark, sf_dir)
+    tokens = F.transform(french.search_tokens(F.col("query"), ix.synonyms), lambda t: t["value"])
+    return postings.keys(_asked(spark, sf_dir).select("qid", tokens.alias("tokens")), ix)
+
+
+def _completions(spark, sf_dir: str) -> DataFrame:
+    spoken = lambda c: french.index_tokens(c, S.table())
+    asked = _read(spark, sf_dir, "part").filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("qid"), F.split("p_name", " ").alias("w"))
+    ends = asked.select("qid", F.left(F.element_at(spoken(F.element_at("w", -1)), 1), F.lit(3)).alias("last"), spoken(F.element_at("w", 1)).alias("others"), F.lit(False).alias("alone"))
+    return postings.completions(ends, _index(spark, sf_dir)).filter("ord <= 10").select("qid", F.col("ord").alias("rank"), "token")
+
+
+def _misspelt(spark, sf_dir: str) -> DataFrame:
+    ix = _index(spark, sf_dir)
+    words = ix.tokens.select("token").unionByName(ix.tokens.select(F.concat("token", F.lit("e")).alias("token")))
+    return search.known_misspellings(words, ix).select("token", "other").distinct()
 
 
 def _clean(spark, sf_dir: str) -> DataFrame:
@@ -69,24 +164,56 @@ def _phonemes(spark, sf_dir: str) -> DataFrame:
     return words.select("word", french.phonemes(F.col("word")).alias("phonemes"))
 
 
-def _labels(spark, sf_dir: str) -> DataFrame:
-    named = french.labels(F.array("name"), F.col("postcode"), F.array("city"), F.lit(None).cast("string"), F.col("kind"))
-    return _docs(spark, sf_dir).select("id", F.posexplode(named).alias("nth", "label"))
+def _synonyms(spark, sf_dir: str) -> DataFrame:
+    """Names with the size and an abbreviation, as they are indexed."""
+    value = F.concat_ws(" ", F.lit("av"), F.col("p_size").cast("string"), "p_name", F.lit("st zi"))
+    return _read(spark, sf_dir, "part").select("p_partkey", F.array_join(french.index_tokens(value, S.table()), " ").alias("tokens"))
 
 
-def _misspelt(spark, sf_dir: str) -> DataFrame:
-    stats = index.token_stats(index.postings(_docs(spark, sf_dir)))
-    return search.known_misspellings(stats.select(F.col("token")).unionByName(stats.select(F.concat("token", F.lit("e")).alias("token"))), stats).select("token", "other")
+def _best_label(spark, sf_dir: str) -> DataFrame:
+    """How near the best label of each document comes to its name and type."""
+    asked = text.fold(F.concat_ws(" ", F.get("name", F.lit(0)), F.get("context", F.lit(0))))
+    near = text.let(F.transform("folded", lambda x: text.similarity(x, asked)), french.best_similarity)
+    return _index(spark, sf_dir).documents.select("id", F.round(near, 9).alias("similarity"))
 
 
-def _completions(spark, sf_dir: str) -> DataFrame:
-    posted = index.postings(_docs(spark, sf_dir))
-    asked = _read(spark, sf_dir, "part").filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("qid"), text.tokens(F.col("p_name")).alias("w"))
-    ends = asked.select("qid", F.left(F.element_at("w", -1), F.lit(3)).alias("last"), F.array_distinct(F.slice("w", 1, F.size("w") - 1)).alias("others"))
-    return search.completions(ends, index.edge_ngrams(posted), index.token_stats(posted), index.pairs(posted), 10)
+def _sets(union: bool):
+    def made(spark, sf_dir: str) -> DataFrame:
+        """Of each brand the types that two sizes have both of, or either."""
+        part = _read(spark, sf_dir, "part").groupBy("p_brand").agg(*(F.collect_set(F.when(F.col("p_size") % 2 == k, F.col("p_size"))).alias(f"s{k}") for k in (0, 1)), F.collect_set(F.when(F.col("p_size") < 25, F.col("p_size"))).alias("small"))
+        both = postings.union_sets(F.col("s0"), F.col("small")) if union else postings.intersect_sets(F.col("s0"), F.col("small"))
+        return part.select("p_brand", F.array_join(F.transform(both, lambda x: x.cast("string")), ",").alias("sizes"))
+
+    return made
+
+
+def _cells(around: int, *rings: int):
+    def made(spark, sf_dir: str) -> DataFrame:
+        spots = _positions(spark, sf_dir).filter(f"qid % {around} = 0") if around > 1 else _positions(spark, sf_dir)
+        return spots.select("qid", F.explode(geo.ring(F.col("lat"), F.col("lon"), *rings)).alias("cell"))
+
+    return made
 
 
-POSTCODES = ("01000", "05000", "11000", "15000", "21000", "25000", "31000", "35000", "41000", "45000")
+def _ties(spark, sf_dir: str) -> DataFrame:
+    """The words of each type alone: many documents have one score."""
+    ix = _index(spark, sf_dir)
+    words = ix.tokens.filter("df >= 5").select(F.col("token").alias("qid"), F.lit(0).alias("ord"), F.array(F.struct("df", "token")).alias("words"))
+    return postings.with_ties(words, ix, 5).select("qid", F.col("doc").cast("long").alias("doc"), "rank", "kept", "tied")
+
+
+def _scan(spark, sf_dir: str) -> DataFrame:
+    made = postings.scanned(_words_of(spark, sf_dir), _index(spark, sf_dir), 5, 40)
+    return made.select("qid", "doc", "rank")
+
+
+def _held_numbers(spark, sf_dir: str) -> DataFrame:
+    """The house number that a written number meets in each document, if any."""
+    ix = _index(spark, sf_dir)
+    asked = ix.documents.select("doc", F.concat((F.col("doc") % 6 + 1).cast("string"), F.when(F.col("doc") % 5 == 0, " bis").otherwise("")).alias("asked"))
+    spoken = asked.select("asked").distinct().select("asked", french.housenumber_token(F.col("asked"), ix.synonyms).alias("token"))
+    met = asked.join(spoken, "asked").join(ix.housenumbers, ["doc", "token"], "left")
+    return met.select("doc", "asked", "token", "number", "id")
 
 
 def queries() -> dict:
@@ -94,103 +221,44 @@ def queries() -> dict:
         "text_fold": lambda s, d: _read(s, d, "documents").select("doc_id", text.fold(F.col("text")).alias("folded")),
         "text_tokens": lambda s, d: _read(s, d, "documents").select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("n_tokens")),
         "text_leading_zeros": lambda s, d: _read(s, d, "part").select("p_partkey", text.without_leading_zeros(F.concat_ws(" ", F.lpad(F.col("p_size").cast("string"), 4, "0"), "p_name")).alias("cleaned")),
-        "index_numbering": lambda s, d: _docs(s, d).select("id", F.col("doc").cast("long").alias("doc")),
-        "index_postings": lambda s, d: index.postings(_docs(s, d)).select("token", F.col("doc").cast("long").alias("doc"), F.round("score", 9).alias("score")),
-        "index_token_stats": lambda s, d: index.token_stats(index.postings(_docs(s, d))).select("token", "df", F.round("max_score", 9).alias("max_score")),
-        "index_pairs": lambda s, d: index.pairs(index.postings(_docs(s, d))),
-        "index_edge_ngrams": lambda s, d: index.edge_ngrams(index.postings(_docs(s, d))),
-        "index_filters": lambda s, d: index.filters(_docs(s, d)).select("name", "value", F.col("doc").cast("long").alias("doc")),
-        "index_geocells": lambda s, d: index.cells(_docs(s, d)).select("cell", F.col("doc").cast("long").alias("doc")),
-        "postings_intersect_topk": _topk,
-        "bigram_similarity": lambda s, d: _read(s, d, "part").select("p_partkey", F.round(text.similarity(text.fold(F.col("p_name")), text.fold(F.concat_ws(" ", "p_name", "p_brand"))), 9).alias("similarity")),
         "text_clean": _clean,
         "text_phonemes": _phonemes,
-        "labels": _labels,
+        "text_synonyms": _synonyms,
+        "housenumber_split": lambda s, d: _read(s, d, "part").select("p_partkey", text.split_housenumber(F.concat(F.col("p_size").cast("string"), F.when(F.col("p_size") % 3 == 0, " bis").when(F.col("p_size") % 3 == 1, "B").otherwise(""))).alias("n")).select("p_partkey", "n.num", "n.complement", "n.short"),
+        "bigram_similarity": lambda s, d: _read(s, d, "part").select("p_partkey", F.round(text.similarity(text.fold(F.col("p_name")), text.fold(F.concat_ws(" ", "p_name", "p_brand"))), 9).alias("similarity")),
+        "labels": lambda s, d: _index(s, d).documents.select("id", F.posexplode(french.labels(F.col("name"), F.get("postcode", F.lit(0)), F.col("city"), F.lit(None).cast("string"), F.col("kind"))).alias("nth", "label")),
+        "label_best": _best_label,
+        "index_numbering": lambda s, d: _index(s, d).documents.select("id", "doc"),
+        "index_postings": lambda s, d: _index(s, d).postings.select("token", "doc", F.round("score", 9).alias("score")),
+        "index_token_stats": lambda s, d: _index(s, d).tokens.select("token", "df", F.round("max_score", 9).alias("max_score")),
+        "index_pairs": lambda s, d: _index(s, d).pairs,
+        "index_edge_ngrams": lambda s, d: _index(s, d).edge_ngrams,
+        "index_filters": lambda s, d: _index(s, d).filters,
+        "index_geocells": lambda s, d: _index(s, d).cells,
+        "index_housenumbers": lambda s, d: _index(s, d).housenumbers.select("doc", "token", "number", "id", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon")),
+        "geo_expand": _cells(1, 0, 1),
+        "geo_ring": _cells(20, 3),
+        "set_intersect": _sets(False),
+        "set_union": _sets(True),
+        "postings_intersect_topk": lambda s, d: postings.intersect(_words_of(s, d), _index(s, d), 10).select("qid", "doc", "rank", F.round("sum", 9).alias("sum")),
+        "postings_with_ties": _ties,
+        "manual_scan": _scan,
+        "filter_docs": lambda s, d: search.allowed(_index(s, d).filters, {"type": ["municipality", "housenumber"], "postcode": [f"{n:02d}000" for n in range(5, 20)]}),
+        "housenumber_match": _held_numbers,
         "fuzzy_known": _misspelt,
         "autocomplete_words": _completions,
-        "search_exact": _search,
-        "search_filtered": lambda s, d: _search(s, d, {"type": ["street"], "postcode": list(POSTCODES)}),
+        "search_exact": lambda s, d: _found(s, d, _asked(s, d)),
+        "search_filtered": _filtered,
+        "search_around_point": _around,
+        "search_housenumbers": _numbers,
+        "search_fuzzy": _fuzzy,
+        "search_autocomplete": _completed,
+        "search_relaxed": _relaxed,
         "geocode_batch": _geocoded,
+        "geocode_plain_number": _plain,
+        "geocode_postcode_fallback": _fallback,
+        "reverse": _spots,
+        "reverse_nearest": lambda s, d: _spots(s, d, radius_m=5000.0),
         "reverse_batch": _reversed,
         "geojson_features": _features,
-        "reverse_nearest": lambda s, d: reverse.nearest(_positions(s, d), _docs(s, d)).select("qid", "doc", "distance_m"),
-        "reverse": lambda s, d: reverse.reverse(_positions(s, d), _docs(s, d), index.cells(_docs(s, d))),
-        "housenumber_split": lambda s, d: _read(s, d, "part").select("p_partkey", text.split_housenumber(F.concat(F.col("p_size").cast("string"), F.when(F.col("p_size") % 3 == 0, " bis").when(F.col("p_size") % 3 == 1, "B").otherwise(""))).alias("n")).select("p_partkey", "n.num", "n.complement", "n.short"),
-    }
-
-
-_FOLD = "trim(regexp_replace(replace(strip_accents(lower({0})), 'ß', 'ss'), '[^a-z0-9_]+', ' ', 'g'))"
-_GAZ = """gaz AS (SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_size % 10 = 0 THEN 'municipality' ELSE 'street' END AS kind, p_name AS name, p_brand AS city, p_type AS context,
- lpad(CAST(p_size * 1000 AS VARCHAR), 5, '0') AS postcode, p_retailprice / 1000 AS importance, 42.0::DOUBLE + (p_partkey * 37 % 900)::DOUBLE / 100 AS lat, -1.0::DOUBLE + (p_partkey * 53 % 700)::DOUBLE / 100 AS lon,
- row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS doc FROM part)"""
-_POSTINGS = f"""{_GAZ}, f AS (SELECT doc, importance, name AS t, 4.0::DOUBLE AS boost FROM gaz UNION ALL SELECT doc, importance, postcode, CASE WHEN kind = 'municipality' THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END FROM gaz
- UNION ALL SELECT doc, importance, city, 1.0::DOUBLE FROM gaz UNION ALL SELECT doc, importance, context, 1.0::DOUBLE FROM gaz),
- w AS (SELECT doc, importance, boost, string_split({_FOLD.format("t")}, ' ') AS words FROM f),
- p AS (SELECT token, doc, max(score) AS score FROM (SELECT doc, unnest(words) AS token, (1.0::DOUBLE / len(words)) * (boost + 0.1::DOUBLE * importance) AS score FROM w) WHERE token <> '' GROUP BY ALL),
- s AS (SELECT token, count(*) AS df, max(score) AS max_score FROM p GROUP BY token)"""
-_TOPK = f"""{_POSTINGS}, q AS (SELECT p_partkey AS qid, {_FOLD.format("p_name || ' ' || p_brand")} AS q FROM part WHERE p_partkey % 50 = 0),
- k AS (SELECT DISTINCT qid, unnest(string_split(q, ' ')) AS token FROM q), n AS (SELECT qid, count(*) AS n FROM k GROUP BY qid),
- m AS (SELECT k.qid, p.doc, count(*) AS c, list_sum(list(p.score ORDER BY s.df, p.token)) AS total FROM k JOIN p USING (token) JOIN s USING (token) GROUP BY ALL),
- b AS (SELECT m.qid, m.doc, total, row_number() OVER (PARTITION BY m.qid ORDER BY round(total, 9) DESC, m.doc) AS rank FROM m JOIN n ON m.qid = n.qid AND m.c = n.n)"""
-_CLEAN_SQL = "p_name || ' 75001 ' || p_brand || ' cedex 01'"
-_CLEAN_SQL = f"CASE p_partkey % 3 WHEN 0 THEN 'BP 123 ' WHEN 1 THEN '3ème étage ' ELSE 'lieu dit ' END || {_CLEAN_SQL}"
-for _pattern, _new in french.CLEAN:
-    _old = _pattern.replace("(?=.)", "(.)")
-    _CLEAN_SQL = f"regexp_replace({_CLEAN_SQL}, '(?i){_old}', '{_new.replace('$', chr(92)) if _old == _pattern else chr(92) + '1'}', 'g')"
-_CLEAN_SQL = f"SELECT p_partkey, trim({_CLEAN_SQL}) AS cleaned FROM part"
-_GRAMS = "list_transform(range(1, length({0})), lambda i: substr({0}, i, 2))"
-
-
-def _bigram(a: str, b: str) -> str:
-    x, y = _GRAMS.format(a), _GRAMS.format(b)
-    shared = f"list_sum(list_transform(list_distinct({x}), lambda g: least(len(list_filter({x}, lambda h: h = g)), len(list_filter({y}, lambda h: h = g)))))"
-    return f"coalesce({shared}, 0)::DOUBLE / (len({x}) + len({y}) - coalesce({shared}, 0))"
-
-
-def _search_sql(condition: str) -> str:
-    return f"""WITH {_TOPK}, h AS (SELECT b.qid, b.doc, q.q AS y, g.importance, g.name || ' ' || g.postcode || ' ' || g.city AS label, unnest([g.name || ' ' || g.postcode || ' ' || g.city, g.name || ' ' || g.postcode, g.name || ' ' || g.city, g.name]) AS l, unnest([1, 2, 3, 4]) AS nth
- FROM b JOIN q USING (qid) JOIN gaz g USING (doc) WHERE {condition}), i AS (SELECT *, {_FOLD.format("l")} AS x FROM h),
- j AS (SELECT *, {_bigram("x", "y")} AS near FROM i),
- c AS (SELECT qid, doc, any_value(label) AS label, (any_value(importance) * 0.1::DOUBLE + coalesce(arg_min(near, nth) FILTER (WHERE near >= 0.9), max(near))) / 1.1::DOUBLE AS score FROM j GROUP BY qid, doc),
- r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, doc) AS rank FROM c) SELECT qid, rank, doc, label, round(score, 9) AS score FROM r WHERE rank <= 5 AND score >= 0.1"""
-
-
-#: The whole table's queries, each distinct one searched once: the best document and the second's score, in two decimals.
-_BATCH = (
-    _search_sql("rank <= 100")
-    .replace(_TOPK, _TOPK.replace("p_partkey AS qid,", "DISTINCT p_name || ' ' || p_brand AS qid,").replace(" WHERE p_partkey % 50 = 0", ""))
-    .replace("SELECT qid, rank, doc, label, round(score, 9) AS score FROM r WHERE rank <= 5 AND score >= 0.1", ", a AS (SELECT qid, doc, label, printf('%.2f', score)::DOUBLE AS s, printf('%.2f', coalesce(lead(score) OVER (PARTITION BY qid ORDER BY rank), 0))::DOUBLE AS n, rank FROM r WHERE rank <= 3 AND score >= 0.1)")
-    + " SELECT p_partkey, g.id AS result_id, a.label AS result_label, a.s AS result_score, a.n AS result_score_next, g.kind AS result_type, g.postcode AS result_postcode FROM part LEFT JOIN a ON a.qid = p_name || ' ' || p_brand AND a.rank = 1 AND a.s > 0.3 LEFT JOIN gaz g ON g.doc = a.doc"
-)
-
-
-def oracle_sql() -> dict[str, str]:
-    near = "2 * 6367.0 * asin(sqrt(pow(sin((radians(g.lat) - radians(e.lat)) / 2), 2) + cos(radians(e.lat)) * cos(radians(g.lat)) * pow(sin((radians(g.lon) - radians(e.lon)) / 2), 2)))"
-    return {
-        "text_fold": f"SELECT doc_id, {_FOLD.format('text')} AS folded FROM documents",
-        "text_tokens": f"SELECT doc_id, CASE WHEN coalesce({_FOLD.format('text')}, '') = '' THEN 0 ELSE len(string_split({_FOLD.format('text')}, ' ')) END AS n_tokens FROM documents",
-        "text_leading_zeros": r"SELECT p_partkey, regexp_replace(lpad(CAST(p_size AS VARCHAR), 4, '0') || ' ' || p_name, '\b0+(\d{1,3})\b', '\1', 'g') AS cleaned FROM part",
-        "index_numbering": f"WITH {_GAZ} SELECT id, doc FROM gaz",
-        "index_postings": f"WITH {_POSTINGS} SELECT token, doc, round(score, 9) AS score FROM p",
-        "index_token_stats": f"WITH {_POSTINGS} SELECT token, df, round(max_score, 9) AS max_score FROM s",
-        "index_pairs": f"WITH {_POSTINGS} SELECT DISTINCT a.token, b.token AS other FROM p a JOIN p b ON a.doc = b.doc AND a.token <> b.token",
-        "index_edge_ngrams": f"WITH {_POSTINGS} SELECT left(token, i) AS ngram, token FROM (SELECT token, unnest(range(3, least(length(token) - 1, 20) + 1)) AS i FROM s)",
-        "index_filters": f"WITH {_GAZ} SELECT 'type' AS name, kind AS value, doc FROM gaz UNION SELECT 'postcode', postcode, doc FROM gaz",
-        "index_geocells": f"WITH {_GAZ}, i AS (SELECT doc, floor((lat + 90) / 180 * 131072)::BIGINT AS a, floor((lon + 180) / 360 * 262144)::BIGINT AS o FROM gaz) SELECT (SELECT sum(((o >> b) & 1) << (2 * b))::BIGINT FROM range(18) t(b)) + (SELECT sum(((a >> b) & 1) << (2 * b + 1))::BIGINT FROM range(17) t(b)) AS cell, doc FROM i",
-        "postings_intersect_topk": f"WITH {_TOPK} SELECT qid, doc, rank, round(total, 9) AS sum FROM b WHERE rank <= 10",
-        "text_clean": _CLEAN_SQL,
-        "geocode_batch": _BATCH,
-        "geojson_features": f"SELECT qid, rank, 'Feature' AS type, 'Point' AS geometry, round(-1.0::DOUBLE + (p_partkey * 53 % 700)::DOUBLE / 100, 9) AS lon, round(42.0::DOUBLE + (p_partkey * 37 % 900)::DOUBLE / 100, 9) AS lat, CAST(p_partkey AS VARCHAR) AS id, label FROM ({_search_sql('rank <= 100')}) s JOIN (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS doc FROM part) USING (doc)",
-        "labels": f"""WITH {_GAZ}, l AS (SELECT id, list_filter([name || ' ' || postcode || ' ' || city, name || ' ' || postcode, name || ' ' || city, name, CASE WHEN kind = 'municipality' THEN postcode || ' ' || name END, CASE WHEN kind = 'municipality' THEN name || ' ' || postcode END], lambda x: x IS NOT NULL) AS l FROM gaz)
- SELECT id, (unnest(range(len(l))))::INTEGER AS nth, unnest(l) AS label FROM l""",
-        "autocomplete_words": f"""WITH {_POSTINGS}, q AS (SELECT p_partkey AS qid, string_split({_FOLD.format("p_name")}, ' ') AS w FROM part WHERE p_partkey % 50 = 0),
- ends AS (SELECT qid, left(w[-1], 3) AS last, list_distinct(w[:-2]) AS others FROM q), fit AS (SELECT e.qid, s.token, s.df, s.max_score, e.others FROM ends e JOIN s ON length(s.token) > 3 AND starts_with(s.token, e.last)),
- met AS (SELECT DISTINCT a.token AS other, b.token FROM p a JOIN p b ON a.doc = b.doc AND a.token <> b.token),
- known AS (SELECT fit.* FROM fit WHERE len(others) = (SELECT count(*) FROM met WHERE met.token = fit.token AND list_contains(fit.others, met.other))),
- r AS (SELECT qid, token, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN len(others) = 0 THEN max_score ELSE df END DESC, token) AS rank FROM known) SELECT qid, rank, token FROM r WHERE rank <= 10""",
-        "search_exact": _search_sql("rank <= 100"),
-        "search_filtered": _search_sql(f"g.kind = 'street' AND g.postcode IN {POSTCODES}"),
-        "bigram_similarity": f"WITH x AS (SELECT p_partkey, {_FOLD.format('p_name')} AS a, {_FOLD.format(chr(112) + '_name || chr(32) || p_brand')} AS b FROM part) SELECT p_partkey, round({_bigram('a', 'b')}, 9) AS similarity FROM x",
-        "reverse_nearest": f"WITH {_GAZ}, e AS (SELECT event_id AS qid, 42.0::DOUBLE + (event_id * 37 % 900)::DOUBLE / 100 AS lat, -1.0::DOUBLE + (event_id * 53 % 700)::DOUBLE / 100 + 0.001::DOUBLE AS lon FROM events), d AS (SELECT e.qid, g.doc, {near} AS km FROM e JOIN gaz g ON abs(g.lat - e.lat) < 0.05 AND abs(g.lon - e.lon) < 0.1), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY km, doc) AS n FROM d WHERE km <= 5) SELECT qid, doc, round(km * 1000, 3) AS distance_m FROM r WHERE n = 1",
-        "housenumber_split": "SELECT p_partkey, CAST(p_size AS VARCHAR) AS num, CASE p_size % 3 WHEN 0 THEN 'bis' WHEN 1 THEN 'B' END AS complement, CASE WHEN p_size % 3 < 2 THEN 'b' END AS short FROM part",
     }
