@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import free_names, written
+from .words import settled
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -196,7 +197,7 @@ def mixed(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str
             own[place] = pa.array(texts, own[place].type)
             yield pa.RecordBatch.from_arrays(own, names=columns)
 
-    return mine.select(*(f"`{c}`" for c in columns), parts_, alike_).mapInArrow(run, docs.schema)
+    return mine.select(*(f"`{c}`" for c in columns), parts_, alike_).mapInArrow(settled(run), docs.schema)
 
 
 def op7_mixing(spark, sf_dir):

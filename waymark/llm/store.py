@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Only for sessions of one machine that name no checkpoint folder, such as those of tests.
 FALLBACK_DIR = "/tmp/checkpoints/waymark"
+BATCH_ROWS = 2_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,5 +55,13 @@ def dropped(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Python steps get BATCH_ROWS rows at a time at most: with whole texts in them, the usual ten thousand are much memory on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
