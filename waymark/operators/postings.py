@@ -29,7 +29,9 @@ def fetched(candidates: DataFrame, index: Index, by: tuple[str, ...] = ("qid", "
     have = set(candidates.columns)
     extra = [c for c in ("types", "citycodes", "postcodes", "cells") if c in have]
     known = candidates.filter((F.size("words") > 0) & F.forall("words", lambda w: F.coalesce(w["df"], F.lit(0)) > 0)).withColumn("words", F.array_sort(F.array_distinct("words")))
-    rare = known.select(*by, *extra, "words", F.get("words", F.lit(0))["token"].alias("token"))
+    # dealt out by number: few candidates fetch many documents, so their own size says nothing of the work
+    parts = int(index.spark.conf.get("spark.sql.shuffle.partitions"))
+    rare = known.select(*by, *extra, "words", F.get("words", F.lit(0))["token"].alias("token")).repartition(parts, *by)
     doc_side = index.documents.select("doc", F.col("words").alias("held"), *(F.col(c) for c, e in (("types", "types"), ("citycode", "citycodes"), ("postcode", "postcodes"), ("near", "cells")) if e in extra))
     renames = {"types": "held_types"} if "types" in extra else {}
     rows = rare.join(index.postings.select("token", "doc"), "token").drop("token").join(doc_side.withColumnsRenamed(renames), "doc").filter(F.forall("words", lambda w: F.map_contains_key(F.col("held"), w["token"])))

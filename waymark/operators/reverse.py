@@ -31,7 +31,8 @@ def _asked(positions: DataFrame) -> DataFrame:
     have = lambda name: F.col(name).cast("array<string>") if name in positions.columns else F.lit(None).cast("array<string>")
     check, only = housenumber_checks(have("types"))
     spot = positions.select("qid", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), *(asked_values(have(c)).alias(c) for c in ("types", "citycodes", "postcodes")), check.alias("check"), only.alias("only"))
-    return spot.filter((F.col("lat") >= -90) & (F.col("lat") < 90) & (F.abs("lon") < float("inf")))
+    parts = int(positions.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # dealt out by number: each position becomes many cells, houses and distances
+    return spot.filter((F.col("lat") >= -90) & (F.col("lat") < 90) & (F.abs("lon") < float("inf"))).repartition(parts, "qid")
 
 
 def _held(rows: DataFrame, index: Index) -> DataFrame:

@@ -94,7 +94,7 @@ class _Search:
             asked_values(given).alias("types"), asked_values(have("citycodes", "array<string>")).alias("citycodes"), asked_values(have("postcodes", "array<string>")).alias("postcodes"),
             check.alias("check"), only.alias("only"), F.when(center, lat).alias("c_lat"), F.when(center, lon).alias("c_lon"),
         )
-        base = base.withColumn("q", text.fold(F.col("query"))).withColumn("toks", french.search_tokens(F.col("query"), self.index.synonyms)).filter("toks is not null").drop("query")
+        base = base.repartition(int(self.index.spark.conf.get("spark.sql.shuffle.partitions")), "qid").withColumn("q", text.fold(F.col("query"))).withColumn("toks", french.search_tokens(F.col("query"), self.index.synonyms)).filter("toks is not null").drop("query")
         base = written(base, "queries")
         each = base.select("qid", F.posexplode("toks").alias("pos", "t")).select("qid", "pos", F.col("t.value").alias("token"))
         known = each.join(self.index.tokens.select("token", "df"), "token", "left").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("df", F.lit(0)).alias("df")))).alias("dfs"))
@@ -216,7 +216,8 @@ class _Search:
     def convert(self, state: DataFrame, where: Column) -> DataFrame:
         """state with results made of the documents in the buckets `where` that have none yet. Results stay when a bucket is replaced."""
         fresh = F.array_except("bucket", F.transform("results", lambda r: r["doc"]))
-        rows = state.filter(where & (F.size(fresh) > 0)).select("qid", "q", "q_grams", "number", "check", "only", "auto", "c_lat", "c_lon", F.explode(fresh).alias("doc"))
+        parts = int(self.index.spark.conf.get("spark.sql.shuffle.partitions"))  # dealt out by number: a query's row becomes up to a hundred to score
+        rows = state.filter(where & (F.size(fresh) > 0)).repartition(parts, "qid").select("qid", "q", "q_grams", "number", "check", "only", "auto", "c_lat", "c_lon", F.explode(fresh).alias("doc"))
         made = self.scored(rows).groupBy("qid").agg(F.collect_list("result").cast(f"array<{_RESULT}>").alias("made"))
         return written(state.join(made, "qid", "left").withColumn("results", F.concat("results", F.coalesce("made", _none(_RESULT)))).drop("made"), "state")
 
