@@ -46,18 +46,21 @@ def coder(vocabulary: str, ranks: str | None = None):
     ids; the two files are compared, and a difference is an error.
     """
     if (vocabulary, ranks) not in _coders:
-        import os
+        _coders[vocabulary, ranks] = _by_file(vocabulary) if ranks is None else _by_ranks(vocabulary, ranks)
+    return _coders[vocabulary, ranks]
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
 
-        whole = Tokenizer.from_file(vocabulary)
-        slow = lambda texts: [x.ids for x in whole.encode_batch_fast(texts, add_special_tokens=False)]
-        _coders[vocabulary, ranks] = slow if ranks is None else _by_ranks(vocabulary, ranks, slow)
-    return _coders[vocabulary, ranks]
+def _by_file(vocabulary: str):
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(vocabulary)
+    return lambda texts: [x.ids for x in whole.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def _by_ranks(vocabulary: str, ranks: str, slow):
+def _by_ranks(vocabulary: str, ranks: str):
     import base64
     import json
     import re
@@ -81,7 +84,8 @@ def _by_ranks(vocabulary: str, ranks: str, slow):
     def encode(texts: list[str]) -> list[list[int]]:
         rest = [i for i, t in enumerate(texts) if holds(t)]
         out = [None if i in set(rest) else fast(t) for i, t in enumerate(texts)] if rest else [fast(t) for t in texts]
-        for i, ids in zip(rest, slow([texts[i] for i in rest]) if rest else ()):
+        # the tokenizers file takes much memory: it is read where a text needs it
+        for i, ids in zip(rest, coder(vocabulary)([texts[i] for i in rest]) if rest else ()):
             out[i] = ids
         return out
 

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Only for sessions of one machine that name no checkpoint folder, such as those of tests.
 FALLBACK_DIR = "/tmp/checkpoints/waymark"
+#: What a Python step gets at a time, at most: rows, and bytes unless one row has more.
 BATCH_ROWS = 2_000
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,10 +58,11 @@ def dropped(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Python steps get BATCH_ROWS rows at a time at most: with whole texts in them, the usual ten thousand are much memory on both sides."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+    """Python steps get BATCH_ROWS rows and BATCH_BYTES bytes at a time at most: with whole texts in them, the usual ten thousand rows are much memory on both sides."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name, None) or ""
+        if not (now.isdecimal() and 0 < int(now) <= most):
+            spark.conf.set(name, most)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

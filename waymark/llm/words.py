@@ -14,7 +14,7 @@ import pyarrow as pa
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
-_SPAN = 1 << 20
+_SPAN = 1 << 18
 _powers: list[np.ndarray] = []
 
 
@@ -64,7 +64,7 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off, np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
-def chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, most: int = _SPAN) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices of rows of about `most` bytes: first row, row after the last, offsets from 0, bytes."""
     off, data = string_buffers(column)
     i, n = 0, len(column)
