@@ -168,6 +168,29 @@ def test_one_of_each_with_repeated_lines(spark):
     assert sorted(r.doc_id for r in simhash.one_of_each(rows).collect()) == sorted(want)
 
 
+def test_candidate_links_come_from_fingerprints(spark):
+    rng = np.random.default_rng(8)
+    bits = rng.integers(0, 1 << 63, (40, simhash.DEDUP_WORDS), dtype=np.uint64)
+    far = ~bits
+    rows = []
+    for i in range(40):
+        near = far[i].copy()
+        word, distance = i % simhash.DEDUP_WORDS, simhash.DEDUP_DISTANCE + i % 2  # one fingerprint within the distance, or just beyond
+        near[word] = bits[i][word] ^ np.uint64(sum(1 << int(b) for b in rng.permutation(64)[:distance]))
+        rows += [(2 * i, 100, bits[i].view(np.int64).tolist()), (2 * i + 1, 81 if i % 3 else 79, near.view(np.int64).tolist())]
+    nodes = spark.createDataFrame(rows, "node long, size long, fps array<long>")
+    got = {(min(r), max(r)) for r in simhash.candidate_links(nodes).collect()}
+    assert {(2 * i, 2 * i + 1) for i in range(40) if i % 2 == 0 and i % 3} == {x for x in got if x[0] // 2 == x[1] // 2}
+
+
+def test_set_fingerprints():
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 1 << 63, 70_000, dtype=np.uint64)
+    for n in (0, 1, 2, 255, 256, 70_000):
+        want = [sum(1 << b for b in range(64) if 2 * int((simhash.mix(x[:n] + np.uint64(w * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(b) & np.uint64(1)).sum()) > n) for w in range(simhash.DEDUP_WORDS)]
+        assert simhash.set_fingerprints(x[:n]).tolist() == want
+
+
 def check_packed(rows, capacity):
     """Sequences without gaps or overlaps, within the capacity; how many there are."""
     spans = collections.defaultdict(list)
