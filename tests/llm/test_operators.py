@@ -191,6 +191,12 @@ def test_set_fingerprints():
         assert simhash.set_fingerprints(x[:n]).tolist() == want
 
 
+def test_sized_makes_no_strings_of_words(docs):
+    rows = mixing.sized(docs)
+    assert "regexp" not in rows._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert collections.Counter((r.doc_id, r.source, r.size) for r in rows.collect()) == collections.Counter((r.doc_id, r.source, len((r.text or "").encode().split())) for r in docs.collect())
+
+
 def check_packed(rows, capacity):
     """Sequences without gaps or overlaps, within the capacity; how many there are."""
     spans = collections.defaultdict(list)

@@ -15,11 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .store import free_names, written
-from .words import settled
+from .words import chunks, places, settled
 
-WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK = 32
 #: Blocks of a source at least, if it has so many words.
@@ -78,8 +78,18 @@ def permuted(i: Column, n: Column, rounds: list[tuple[Column, Column]]) -> Colum
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size in words (null text: 0) and the salt in whose order a source's stream runs."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("tie"))
-    return rows.withColumn("salt", F.xxhash64("doc_id", "tie"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), text.alias("text"), F.xxhash64(text).alias("tie"))
+
+    # a regular expression makes strings of all words: the JVM then takes all the memory it may
+    def run(batches):
+        for batch in batches:
+            size = np.zeros(batch.num_rows, dtype=np.int64)
+            for i, j, off, data in chunks(batch.column(2)):
+                size[i:j] = np.diff(places(off, data)[2])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), batch.column(3)], names=["doc_id", "source", "size", "tie"])
+
+    kinds = T.StructType([rows.schema["doc_id"], rows.schema["source"], T.StructField("size", T.LongType()), rows.schema["tie"]])
+    return rows.mapInArrow(settled(run), kinds).withColumn("salt", F.xxhash64("doc_id", "tie"))
 
 
 def source_table(rows: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> list[dict]:
