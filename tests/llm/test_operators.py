@@ -86,6 +86,21 @@ def test_lm_with_many_rare_words(spark):
     close(lm.own_scores(spark.createDataFrame(texts, "doc_id long, text string")).collect(), want)
 
 
+@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("limits", [(0, 0), (3, 0), (3, 5), (1000, 1000)])
+def test_lm_with_hot_ngrams(spark, monkeypatch, order, limits):
+    """Whichever contexts and n-grams are taken out as hot, none, a few or all, the scores are those of the definition."""
+    monkeypatch.setattr(lm, "CONTEXTS", limits[0])
+    monkeypatch.setattr(lm, "COMMON", limits[1])
+    rng = np.random.default_rng(10)
+    texts = [(i, " ".join(f"w{x}" for x in rng.zipf(1.5, n) % 50)) for i, n in enumerate([0, 1, 1, 2, 2, 3, 40, 200])] + [(8, "w1 " * 300), (None, "w1 w1")]
+    want = brute_lm([(i, t.encode().split()) for i, t in texts], order)
+    made = lm.own_scores(spark.createDataFrame(texts, "doc_id long, text string"), order, share=1.0)
+    close(made.collect(), want)
+    # a row per n-gram, joined to the counts of itself and of its context in its hash partition
+    assert made._jdf.queryExecution().executedPlan().toString().count("Window ") >= 2
+
+
 def test_lm_backs_off(spark):
     corpus = spark.createDataFrame([("a b c",), ("a b d",), (None,)], "text string")
     texts = spark.createDataFrame([(1, "a b"), (2, "b a"), (3, "a x c"), (4, None), (4, "")], "doc_id long, text string")
