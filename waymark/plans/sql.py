@@ -158,7 +158,7 @@ def oracle_sql() -> dict[str, str]:
         "set_union": "SELECT p_brand, coalesce(string_agg(CAST(p_size AS VARCHAR), ',' ORDER BY p_size) FILTER (WHERE p_size % 2 = 0 OR p_size < 25), '') AS sizes FROM (SELECT DISTINCT p_brand, p_size FROM part) GROUP BY p_brand",
         "postings_intersect_topk": f"WITH {_TOKENS}, {_asked(_QUERY)} SELECT qid, doc, rank, round(total, 9) AS sum FROM b WHERE rank <= 10",
         "postings_with_ties": f"WITH {_TOKENS}, r0 AS (SELECT token AS qid, doc, rank() OVER (PARTITION BY token ORDER BY score DESC) AS lvl, row_number() OVER (PARTITION BY token ORDER BY score DESC, doc) AS rank FROM p JOIN s USING (token) WHERE df >= 5), r1 AS (SELECT * FROM r0 WHERE lvl <= 5), r2 AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n, max(lvl) OVER (PARTITION BY qid) AS last FROM r1) SELECT qid, doc, rank, rank <= 5 AS kept, n > 5 AND lvl = last AS tied FROM r2",
-        "manual_scan": f"WITH {_TOKENS}, {_asked(_QUERY)}, rare AS (SELECT qid, arg_min(token, (df, token)) AS token FROM kk JOIN s USING (token) GROUP BY qid), few AS (SELECT r.qid, p.doc, row_number() OVER (PARTITION BY r.qid ORDER BY p.score DESC, p.doc) AS nth FROM rare r JOIN p USING (token)), held AS (SELECT few.qid, few.doc, row_number() OVER (PARTITION BY few.qid ORDER BY nth) AS rank FROM few JOIN b ON b.qid = few.qid AND b.doc = few.doc WHERE nth <= 40) SELECT qid, doc, rank FROM held WHERE rank <= 5",
+        "manual_scan": f"WITH {_TOKENS}, {_asked(_QUERY)}, rare AS (SELECT qid, arg_min(token, (df, token)) AS token FROM kk JOIN s USING (token) GROUP BY qid), few AS (SELECT r.qid, p.doc, row_number() OVER (PARTITION BY r.qid ORDER BY p.score DESC, p.doc) AS nth FROM rare r JOIN p USING (token)), held AS (SELECT few.qid, few.doc, row_number() OVER (PARTITION BY few.qid ORDER BY nth) AS rank FROM few JOIN b ON b.qid = few.qid AND b.doc = few.doc) SELECT qid, doc, rank FROM held WHERE rank <= 5",
         "filter_docs": f"WITH {_GAZ} SELECT doc FROM gaz WHERE (kind = 'municipality' OR k > 0) AND postcode IN ('05000', '06000', '07000', '08000', '09000', '10000', '11000', '12000', '13000', '14000')",
         "housenumber_match": f"WITH {_GAZ}, {_SPOKEN}, a AS (SELECT doc, id, k, (doc % 6 + 1)::INT AS i, doc % 5 = 0 AS bis FROM gaz) SELECT doc, i || CASE WHEN bis THEN ' bis' ELSE '' END AS asked, CASE WHEN bis THEN i || 'b' ELSE token END AS token, CASE WHEN NOT bis AND i <= k THEN CAST(i AS VARCHAR) END AS number, CASE WHEN NOT bis AND i <= k THEN id || '_' || i END AS id FROM a JOIN spoken USING (i)",
         "autocomplete_words": f"""WITH {_TOKENS}, q AS (SELECT p_partkey AS qid, string_split(p_name, ' ') AS ws FROM part WHERE p_partkey % 50 = 0), l AS (SELECT qid, left({_sound("ws[-1]")}, 3) AS last, {_sound("ws[1]")} AS other FROM q),
