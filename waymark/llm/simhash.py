@@ -378,10 +378,10 @@ def _bounds(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def candidate_links(nodes: DataFrame) -> DataFrame:
     """Links (a, b) that span all components of candidates: nodes of which one fingerprint lies within DEDUP_DISTANCE and whose sizes allow a similarity of 0.8.
 
-    Each of the fingerprints is divided, probed and verified on its own, as near_links() does it.
+    Each of the fingerprints is divided, probed and verified on its own, as near_links() does it, and its links are written, so that the probes of one lie on the disks at a time.
     """
     filled = nodes.filter("size > 0")
-    links = [near_links(filled.select("node", F.array(F.element_at("fps", word)).alias("fps"), "size"), DEDUP_DISTANCE, ratio=ALIKE[0] / ALIKE[1] - 1e-9) for word in range(1, DEDUP_WORDS + 1)]
+    links = [written(near_links(filled.select("node", F.array(F.element_at("fps", word)).alias("fps"), "size"), DEDUP_DISTANCE, ratio=ALIKE[0] / ALIKE[1] - 1e-9), "links") for word in range(1, DEDUP_WORDS + 1)]
     # a text has a link in each of its buckets, whose first members differ: they are linked to the least of them instead
     least = functools.reduce(DataFrame.union, links).groupBy("b").agg(F.min("a").alias("least"), F.collect_set("a").alias("a"))
     return least.select(F.col("least").alias("a"), F.explode(F.concat("a", F.array("b"))).alias("b")).filter("a <> b").distinct()
@@ -435,7 +435,7 @@ def one_of_each(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: s
     """
     prints = shingle_prints(docs, k, id_col, text_col)
     nodes = written(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("t").alias("t"), *(F.first(c).alias(c) for c in ("size", "fps"))), "nodes")
-    groups = nodes.select("node", "least").join(exact_groups(docs, nodes, k, text_col), "node", "left")
+    groups = nodes.select("node", "least").join(written(exact_groups(docs, nodes, k, text_col), "groups"), "node", "left")
     (name,) = free_names(docs, "stays")
     stays = groups.groupBy(F.coalesce("group", "node").alias("group")).agg(F.min("least").alias(name)).select(name).distinct()
     return docs.join(stays, F.col(f"`{id_col}`").eqNullSafe(F.col(name)), "left_semi").dropDuplicates([id_col, text_col])
